@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, mixing, neardup, quality, sharding, tokens
+from . import audio, brown, decontaminate, langid, mixing, neardup, quality, sharding, tokens
 from .common import Scratch, table
 
 
@@ -27,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -55,6 +59,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_decontaminate, op4_feistel_shards, op5_quality, op6_audio_media, op7_mix_sources, op8_language_id, op10_near_duplicates)
+    f.__name__: f for f in (op1_token_output, op2_decontaminate, op3_class_lm, op4_feistel_shards, op5_quality, op6_audio_media, op7_mix_sources, op8_language_id, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {}
