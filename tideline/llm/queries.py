@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, brown, decontaminate, langid, mixing, neardup, quality, sharding, tokens
+from . import audio, brown, decontaminate, langid, mixing, neardup, preference, quality, sharding, tokens
 from .common import Scratch, table
 
 
@@ -53,12 +53,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op9")
+    chosen, rejected = preference.swapped_replies(table(spark, sf_dir, "conversations"), scratch)
+    return preference.preference_pairs(chosen, rejected, scratch)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
     return found.select("doc_id", "class_id", "class_size")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_decontaminate, op3_class_lm, op4_feistel_shards, op5_quality, op6_audio_media, op7_mix_sources, op8_language_id, op10_near_duplicates)
+    f.__name__: f for f in (op1_token_output, op2_decontaminate, op3_class_lm, op4_feistel_shards, op5_quality, op6_audio_media, op7_mix_sources, op8_language_id, op9_preference, op10_near_duplicates)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_preference": preference.SWAPPED_SQL}
