@@ -59,10 +59,9 @@ def with_known_parent(shards: DataFrame) -> DataFrame:
 
 def prune(known: DataFrame, listed: DataFrame, running: DataFrame) -> DataFrame:
     """Known shards that are still listed or still run here; an empty listing prunes nothing."""
-    ids = listed.select("shard_id").union(running.select("shard_id")).distinct()
-    some = listed.agg((F.count("*") > 0).alias("_some"))
-    kept = known.join(ids.withColumn("_kept", F.lit(True)), "shard_id", "left").crossJoin(some)  # one row
-    return kept.filter(F.col("_kept") | ~F.col("_some")).drop("_kept", "_some")
+    if listed.isEmpty():
+        return known
+    return known.join(listed.select("shard_id").union(running.select("shard_id")).distinct(), "shard_id", "left_semi")
 
 
 def prune_completions(done: DataFrame, kept: DataFrame) -> DataFrame:
