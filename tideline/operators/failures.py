@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..model import BATCH, FAIL_FAST, RECORD, SEND_TO_DLQ, SKIP, HandlerOptions
 
-PAGE = Window.partitionBy("shard_id", "page_no")
+def of_page():
+    return Window.partitionBy("shard_id", "page_no")
 
 
 def outcomes(pages: DataFrame, options: HandlerOptions) -> DataFrame:
@@ -24,7 +25,7 @@ def outcomes(pages: DataFrame, options: HandlerOptions) -> DataFrame:
     most = options.tuning.retry_max_attempts
     on = F.coalesce(F.col("succeeds_on"), F.lit(1 << 30))
     if options.kind == BATCH:
-        on = F.max(on).over(PAGE)
+        on = F.max(on).over(of_page())
     failed = {SKIP: "skipped", SEND_TO_DLQ: "dlq", FAIL_FAST: "failed"}[options.effective_policy]
     out = pages.withColumn("attempts", F.least(on, F.lit(most)).cast("int")).withColumn("outcome", F.when(on <= most, "processed").otherwise(failed))
     if failed != "failed":
@@ -50,10 +51,10 @@ def poison_records(outcome_rows: DataFrame, options: HandlerOptions, group: str,
     the same for every delivery of a record.
     """
     batch = options.kind == BATCH
-    index = F.row_number().over(PAGE.orderBy(F.length("sequence_number"), F.col("sequence_number"))) - 1
+    index = F.row_number().over(of_page().orderBy(F.length("sequence_number"), F.col("sequence_number"))) - 1
     rows = outcome_rows.filter("outcome = 'dlq'")
     if batch:
-        rows = rows.withColumn("_index", index).withColumn("_size", F.count("*").over(PAGE))
+        rows = rows.withColumn("_index", index).withColumn("_size", F.count("*").over(of_page()))
     else:
         rows = rows.withColumn("_index", F.lit(0)).withColumn("_size", F.lit(1))
     handler = F.lit(BATCH if batch else RECORD)
