@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ragged, shingles, slices, word_hashes
+from .common import ALNUM, column, ragged, shingles, slices, word_hashes
 
 K, WINDOW, SPAN = 5, 6, 10
 BLOCK_WORDS = 2_000_000
@@ -133,10 +133,10 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document with its hits; ``keep`` names columns of ``docs`` to carry along."""
+    """One row per document with its hits; ``keep`` names columns of ``docs`` to carry along, as _keep_0, _keep_1, ...."""
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in _blocks(benchmark, block_words)]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -160,12 +160,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] = (), b
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]],
             )
 
-    kept = "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = rows.mapInArrow(mark, SCHEMA + kept)
-    return out.withColumnsRenamed({f"_keep_{c}": f"doc_{c}" for c in keep}) if keep else out
+    kept = "".join(f", _keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return rows.mapInArrow(mark, SCHEMA + kept)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with the columns of ``docs``."""
     marked = decontaminate(docs, benchmark, keep=docs.columns)
-    return marked.filter(~F.col("contaminated")).select(*[F.col(f"doc_{c}").alias(c) for c in docs.columns])
+    return marked.filter(~F.col("contaminated")).select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, find_words, hash_spans, mix, remainder, slices, text_bytes
+from .common import _LOWER, column, find_words, hash_spans, mix, remainder, slices, text_bytes
 
 ALPHABET = np.zeros(256, bool)  # bytes of words: a-z and all that is not ASCII
 ALPHABET[97:123] = ALPHABET[128:] = True
@@ -147,9 +147,9 @@ def fit(docs: DataFrame, most_training: int = MOST_TRAINING, reject: float = REJ
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of every document; ``keep`` names columns to carry along."""
+    """doc_id, held_out, lang_pred, score and rejected of every document; ``keep`` names columns to carry along, as _keep_0, _keep_1, ...."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select(F.col("doc_id").cast("long"), (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("_text"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -171,5 +171,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> Data
             rejected = ~letters | (score < floor) | (m is None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "rejected", *batch.schema.names[3:]])
 
-    kept = "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kept = "".join(f", _keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean" + kept)
+
+
+def drop_rejected(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents whose language is not rejected, with the columns of ``docs``."""
+    named = identify(docs, model, keep=docs.columns)
+    return named.filter(~F.col("rejected")).select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SOLID, Scratch, find_words, running_sums, slices, text_bytes
+from .common import SOLID, Scratch, column, find_words, running_sums, slices, text_bytes
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, block: int
 def mix_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> DataFrame:
     """The documents of the mix, whole: each as often as the block of its first word is taken."""
     counts = scratch.keep(mix(docs, scratch, weights).filter("passes > 0").groupBy("doc_id", "key").agg(F.max("passes").alias("n")), "passes")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    counts = counts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key2"), F.col("n").alias("_n"))
-    joined = keyed.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_key2")))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    counts = counts.select(F.col("doc_id").alias("__mix_id"), F.col("key").alias("__mix_key"), F.col("n").alias("__mix_n"))
+    same = docs["doc_id"].cast("long").eqNullSafe(counts["__mix_id"]) & (F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])) == counts["__mix_key"])
+    turns = docs.join(counts, same).withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    return turns.select(*[column(c) for c in docs.columns])

@@ -153,7 +153,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """doc_id, node, bands and the number of elements; node is null for texts without words."""
+    """doc_id, text_hash, node, bands and the number of elements; node is null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -162,10 +162,10 @@ def sketch(docs: DataFrame, counted: bool = False) -> DataFrame:
             keys = signed(band_keys(dart_signatures(own, None, doc, batch.num_rows)))
             count = np.bincount(doc, minlength=batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(nodes(words, firsts)), mask=count == 0), lists, pa.array(count.astype(np.int32))], names=["doc_id", "node", "bands", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(signed(nodes(words, firsts)), mask=count == 0), lists, pa.array(count.astype(np.int32))], names=["doc_id", "text_hash", "node", "bands", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, node long, bands array<long>, n int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>, n int")
 
 
 def _read_again(docs: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
@@ -218,7 +218,7 @@ def connect(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
-    """doc_id, class_id and class_size of every document."""
+    """doc_id, class_id, class_size and text_hash of every document."""
     counted = weights == "count"
     sketched = scratch.keep(sketch(docs, counted), "sketch")
     unique = scratch.keep(sketched.filter("node is not null").select("node", "bands", "n").dropDuplicates(["node"]), "nodes")
@@ -267,17 +267,18 @@ def classes(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, w
     named = scratch.keep(named, "named")
     by_class = scratch.keep(named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("c").alias("class_size")), "classes")
     by_node = scratch.keep(named.join(by_class, "label").select(F.col("node").alias("m"), "class_id", "class_size"), "by-node")
-    rows = sketched.select("doc_id", "node")
+    rows = sketched.select("doc_id", "text_hash", "node")
     out = rows.join(by_node, rows.node == by_node.m, "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node")
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "text_hash")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents less all but one of each class: the one of the least doc_id."""
+    """The documents less all but one of each class: the one of the least doc_id; rows with a null doc_id stay."""
     found = classes(docs, scratch, similarity)
-    goes = (F.col("class_size") > 1) & F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = scratch.keep(found.filter(goes).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_node")).distinct(), "gone")
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    goes = (F.col("class_size") > 1) & (F.col("doc_id") != F.col("class_id"))
+    gone = scratch.keep(found.filter(goes).select("doc_id", "text_hash").distinct(), "gone")
+    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    kept = docs.join(gone, same, "left_anti")
     if found.filter("class_size > 1 and doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])  # rows that repeat with their doc_id
     return kept

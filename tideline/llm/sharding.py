@@ -31,7 +31,7 @@ def permute(numbers: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     while 1 << (2 * half) < n:
         half += 1
     half, mask = np.uint64(half), np.uint64((1 << half) - 1)
-    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(seed % (1 << 63)) * np.uint64(0x9E3779B97F4A7C15))
+    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     out = numbers.astype(np.uint64)
     todo = np.ones(len(out), bool)
     while todo.any():
