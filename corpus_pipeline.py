@@ -15,7 +15,6 @@ has as many rows from there on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, langid, mixing, neardup, tokens
 from tideline.llm.common import Scratch, table
@@ -23,8 +22,7 @@ from tideline.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = langid.identify(docs, langid.fit(docs), keep=docs.columns)
-    return named.filter(~F.col("rejected")).select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    return langid.drop_rejected(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
