@@ -325,6 +325,24 @@ def test_schedule_stays_near_the_targets(spark):
         assert c[1] == 0 and all(abs(c[p] - n * w / 1000) < 6 for p, w in ((0, 500), (2, 300), (3, 200)))
 
 
+def test_pieces_fill_blocks(spark):
+    docs = [(i, "w " * (7 * i % 23), "abc"[i % 3]) for i in range(60)]
+    scratch = Scratch(spark, "t")
+    placed, shares = mixing.place_documents(spark.createDataFrame(docs, "doc_id long, text string, source string"), scratch)
+    pieces = mixing.mix_pieces(placed, shares, scratch, 10).collect()
+    by_slot = Counter()
+    for p in pieces:
+        by_slot[p.slot] += p.last - p.first
+    size = {r.place: r.source_size for r in shares.collect()}
+    assert all(n == 10 for n in by_slot.values() if n > 10) and sum(n < 10 for n in by_slot.values()) <= 3 * len(size)
+    runs = {}
+    for p in sorted(pieces, key=lambda p: (p.place, p.slot, p.at)):
+        runs.setdefault(p.place, []).append(p)
+    for place, run in runs.items():  # a source's slots go through its stream in order, again and again
+        at = [p.at + p.first for p in run]
+        assert all(b == a + q.last - q.first or b == 0 for a, b, q in zip(at, at[1:], run))
+
+
 def test_mix_of_hard_rows(spark, hard):
     got = mixing.mix(hard, Scratch(spark, "t")).collect()
     assert sorted(r.size for r in got) == sorted(len(solid(r.text)) for r in hard.collect())

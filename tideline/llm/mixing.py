@@ -4,12 +4,14 @@ A source's documents, in a shuffled order, form one stream of words that is cut
 blocks of ``block`` words.  The schedule has slots; slot i maps the golden-ratio point
 frac((i + 1/2) * phi) through the sources' cumulative targets, so every stretch of slots
 comes near the targets.  The r-th slot of a source takes block r modulo its blocks: a
-source that is asked for more than it has repeats in whole passes.
+source that is asked for more than it has repeats in whole passes.  Joining slots and
+documents by source and block gives the mix: pieces of documents in the order of slots.
 
-All of it is sums over ordered tables (``running_sums``), so neither a hot source nor
-many sources meet in one task: a document's place in its source's stream is a running sum
-over (source, hash) less the sum before its source, and the points are matched with the
-targets by one ordering of both.
+Places and ranks are sums over ordered tables (``running_sums``), so neither a hot source
+nor many sources meet in one task: a document's place in its source's stream is a running
+sum over (source, hash) less the sum before its source, a slot's rank the same over
+(source, slot), and points are matched with targets by one ordering of both.  The join is
+by source and block, of which each holds ``block`` words and a few slots.
 
 Targets: a source's share of all words by weight, stopped at ``MOST_PASSES`` times its
 size; what is above goes to the others by weight until none is above.
@@ -87,27 +89,51 @@ def schedule(shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     return ranked.filter("kind = 1").select("slot", "at", (F.col("passed") - 1).alias("passed")).join(numbered.select("place", "passed"), "passed").select("slot", "at", "place")
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, block: int | None = None) -> DataFrame:
-    """Per document: source, size, source_size, target, taken, and passes: how often the block of its first word is taken."""
-    sizes = running_sums(count_words(docs).withColumn("null_last", F.col("source").isNull().cast("int")), ["null_last", "source", "key", "doc_id"], {"at": "size"}, scratch, "sizes")
-    sizes = sizes.select("doc_id", "source", "key", "size", "at")
+def ranked(slots: DataFrame, shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """slot, place, rank (the slot's number among its source's) and the block that it takes.
+
+    A source's slots beyond ``MOST_PASSES`` passes, which only rounding can give, take nothing.
+    """
+    ordered = running_sums(slots.select("place", "slot", F.lit(1).cast("long").alias("one")), ["place", "slot"], {"number": "one"}, scratch, "ranks")
+    counts = slots.groupBy("place").agg(F.count("*").alias("n"))
+    starts = running_sums(counts, ["place"], {"first": "n"}, scratch, "rank-starts").select("place", "first")
+    blocks = F.greatest(F.ceil(F.col("source_size") / F.lit(block)).cast("long"), F.lit(1))
+    known = scratch.keep(starts.join(shares.select("place", blocks.alias("blocks")), "place"), "rank-plan")
+    rows = ordered.join(known, "place").withColumn("rank", F.col("number") - F.col("first"))
+    return rows.filter(F.col("rank") < F.col("blocks") * MOST_PASSES).select("slot", "place", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+
+
+def place_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in their source's stream (``at``), and the sources with their targets."""
+    counted = count_words(docs).withColumn("null_last", F.col("source").isNull().cast("int"))
+    sizes = running_sums(counted, ["null_last", "source", "key", "doc_id"], {"total_before": "size"}, scratch, "sizes")
     shares = scratch.keep(targets(sizes, scratch, weights), "shares")
+    starts = running_sums(shares.select("null_last", "source", "source_size", "place", "target"), ["null_last", "source"], {"start": "source_size"}, scratch, "starts")
+    starts = scratch.keep(starts.select(F.col("source").alias("s"), "source_size", "place", "target", "start"), "source-starts")
+    rows = sizes.join(starts, F.col("source").eqNullSafe(F.col("s")))
+    placed = rows.select("doc_id", "key", "source", "size", "source_size", "target", "place", (F.col("total_before") - F.col("start")).alias("at"))
+    return scratch.keep(placed, "placed"), shares
+
+
+def mix_pieces(placed: DataFrame, shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """The mix: slot, place, at (which document of the source), first and last word (exclusive) of the piece within it."""
+    slots = scratch.keep(ranked(scratch.keep(schedule(shares, scratch, block), "slots"), shares, scratch, block), "ranked")
+    end = F.col("at") + F.col("size")
+    spread = placed.filter("size > 0").select("place", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("block"))
+    low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(end, (F.col("block") + 1) * block)
+    pieces = spread.select("place", "block", "at", (low - F.col("at")).alias("first"), (high - F.col("at")).alias("last"))
+    return slots.join(pieces, ["place", "block"]).select("slot", "place", "at", "first", "last")
+
+
+def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, block: int | None = None) -> DataFrame:
+    """Per document: source, size, source_size, target, taken (words), and passes: how often its first word is taken."""
+    placed, shares = place_documents(docs, scratch, weights)
     total = shares.agg(F.sum("source_size")).first()[0] or 0
-    block = block or block_words(total)
-    turns = schedule(shares, scratch, block).groupBy("place").agg(F.count("*").alias("turns"))
-    starts = running_sums(shares.select("null_last", "source", "source_size"), ["null_last", "source"], {"start": "source_size"}, scratch, "starts")
-    blocks = F.greatest(F.ceil(F.col("source_size") / F.lit(block)).cast("long"), F.lit(1))
-    plan = shares.join(starts.select(F.col("source").alias("s"), "start"), F.col("source").eqNullSafe(F.col("s"))).join(turns, "place", "left")
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "start", blocks.alias("blocks"), F.least(F.coalesce("turns", F.lit(0)), blocks * MOST_PASSES).alias("turns"))
-    plan = scratch.keep(plan, "plan")
-    rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    # blocks before `turns % blocks` are taken once more than `turns // blocks` times
-    at, over = F.col("at") - F.col("start"), (F.col("turns") % F.col("blocks")) * block
-    times = F.floor(F.col("turns") / F.col("blocks"))
-    more = F.greatest(F.least(at + F.col("size"), over) - at, F.lit(0))
-    taken = times * F.col("size") + more
-    passes = F.when(F.col("size") > 0, times + (at < over).cast("long")).otherwise(F.lit(0))
-    return rows.select("doc_id", "key", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), passes.cast("int").alias("passes"))
+    pieces = mix_pieces(placed, shares, scratch, block or block_words(total))
+    taken = pieces.groupBy("place", "at").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.count_if(F.col("first") == 0).alias("passes"))
+    taken = taken.select(F.col("place").alias("p"), F.col("at").alias("a"), "taken", "passes")
+    rows = placed.join(taken, (F.col("size") > 0) & (F.col("place") == F.col("p")) & (F.col("at") == F.col("a")), "left")
+    return rows.select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("passes", F.lit(0)).cast("int").alias("passes"))
 
 
 def mix_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> DataFrame:
