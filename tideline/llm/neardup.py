@@ -12,10 +12,12 @@ their (weighted) Jaccard similarity.
 
 ``BANDS`` bands of ``ROWS`` coordinates make buckets; at similarity 0.8 a pair shares no
 bucket with a probability of (1 - 0.8^6)^40 = 5e-6.  Within a bucket not all pairs are
-formed: every member is compared with pivots, links are contracted to classes, and the
-bucket stays open with further pivots (four times as many in each round) while it holds
-members of several classes; no pair is left out but those already in one class.  Pairs
-are checked exactly on the 32-bit hashes of their elements.
+formed.  First every member is compared with one pivot, and links are contracted to
+classes, which closes nearly all buckets.  In a bucket that still holds several classes,
+members outside its largest class are compared with all members of other classes, in
+blocks of bounded size, of which only new links come out.  No pair that shares a bucket is
+left out but those already in one class.  All comparisons are exact, on the 32-bit hashes
+of the elements.
 
 Documents with the same words are one node from the start, by a 64-bit hash, so groups of
 copies don't meet in a bucket.  Everything between steps is a table in the shared folder.
@@ -40,7 +42,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
 LAYER = 2.0**-4  # rank that the first layer spans
-ALL_PAIRS = (4, 64)  # buckets up to this size are compared in full: in the first round, and later
+BLOCK_ELEMENTS, BLOCK_ROWS = 1_000_000, 1_500  # about what a block of members holds at most
+COLUMNS = 4_096  # elements that one product of matrices takes
 FILTER_BITS = 1 << 24  # of the filter that tells which texts must be read again
 
 _ODDS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(K)], np.uint64)
@@ -204,66 +207,106 @@ def connect(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         turn += 1
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        near = scratch.keep(near, f"{name}-near-{turn}")
         lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("m"), F.col("label").alias("further"))
         lower = lower.join(jump, lower.label == jump.m).select("node", "was", F.least("label", "further").alias("label"))
         new = scratch.keep(lower, f"{name}-{turn}")
         moved = new.filter("label < was").limit(1).count()
         labels = new.select("node", "label")
-        scratch.drop(f"{name}-{turn - 1}", f"{name}-near-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
         if not moved:
             scratch.drop(f"{name}-both")
             return labels
 
 
+def new_links(minor: list, major: list, similarity: float) -> list[tuple[int, int]]:
+    """Of two lists of (node, label, elements): for each node of the first, a similar node of each other label.
+
+    Sizes of all intersections come from products of 0/1 matrices over the elements that two members share.
+    """
+    sizes = np.array([len(x[2]) for x in minor]), np.array([len(x[2]) for x in major])
+    labels = np.array([x[1] for x in minor]), np.array([x[1] for x in major])
+    found, place = np.unique(np.concatenate([x[2] for x in (*minor, *major)]), return_inverse=True)
+    row = np.repeat(np.arange(len(minor) + len(major)), np.concatenate(sizes))
+    here, there = np.zeros(len(found), bool), np.zeros(len(found), bool)
+    here[place[row < len(minor)]] = True
+    there[place[row >= len(minor)]] = True
+    shared = here & there
+    column = np.cumsum(shared) - 1
+    row, place = row[shared[place]], column[place[shared[place]]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    both = np.zeros((len(minor), len(major)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(place, [lo, lo + COLUMNS])
+        m = np.zeros((len(minor) + len(major), COLUMNS), np.float32)
+        m[row[a:b], place[a:b] - lo] = 1
+        both += m[: len(minor)] @ m[len(minor) :].T
+    close = both.astype(np.float64) >= (sizes[0][:, None] + sizes[1][None, :] - both) * similarity
+    close &= labels[0][:, None] != labels[1][None, :]
+    i, j = np.nonzero(close)
+    _, first = np.unique(np.stack([i, labels[1][j]], 1), axis=0, return_index=True) if len(i) else (None, [])
+    return [(minor[x][0], major[y][0]) for x, y in zip(i[first].tolist(), j[first].tolist())] if len(i) else []
+
+
+def compare_blocks(members: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """New links (a, b) in buckets of several classes; members: band, node, n, label."""
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node")).alias("h"))
+    state = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("size"), F.sum("h").alias("h"))
+    # buckets of the same members are one
+    once = state.filter("labels > 1").groupBy("size", "h").agg(F.min(F.struct("band", F.col("m.label").alias("main"))).alias("b"))
+    once = scratch.keep(once.select("b.band", "b.main"), "open")
+    rows = scratch.keep(members.join(once, "band").select("band", "node", "n", "label", (F.col("label") == F.col("main")).alias("inner")), "open-members")
+    blocks = lambda x, r: F.greatest(F.ceil(x / BLOCK_ELEMENTS), F.ceil(r / BLOCK_ROWS), F.lit(1)).cast("int")
+    size = rows.groupBy("band").agg(F.sum("n").alias("n_all"), F.count("*").alias("r_all"), F.sum(F.when(~F.col("inner"), F.col("n"))).alias("n_out"), F.count_if(~F.col("inner")).alias("r_out"))
+    size = scratch.keep(size.select("band", blocks(F.col("n_all"), F.col("r_all")).alias("all_blocks"), blocks(F.col("n_out"), F.col("r_out")).alias("out_blocks")), "open-sizes")
+    dealt = rows.join(size, "band").withColumn("h", F.xxhash64("node"))
+    own_all, own_out = F.pmod("h", "all_blocks").cast("int"), F.pmod("h", "out_blocks").cast("int")
+    # a pair of blocks (i, j): members outside the largest class in i (side 0), all members in j (side 1)
+    as_all = F.transform(F.sequence(F.lit(0), F.col("out_blocks") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own_all.alias("j")))
+    as_out = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: F.struct(F.lit(0).alias("side"), own_out.alias("i"), j.alias("j")))
+    spread = dealt.select("band", "node", "label", F.explode(F.when(F.col("inner"), as_all).otherwise(F.concat(as_all, as_out))).alias("p")).select("band", "p.i", "p.j", "p.side", "node", "label")
+    full = spread.join(texts.select(F.col("node").alias("t"), "own"), F.col("node") == F.col("t")).drop("t")
+
+    def run(group: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        own = group.column("own").combine_chunks()
+        if isinstance(own, pa.ChunkedArray):
+            own = pa.concat_arrays(own.chunks)
+        flat, offsets = own.flatten().to_numpy(zero_copy_only=False), own.offsets.to_numpy() - own.offsets[0].as_py()
+        for k, (side, node, label) in enumerate(zip(*(group.column(c).to_pylist() for c in ("side", "node", "label")))):
+            sides[side].append((node, label, flat[offsets[k] : offsets[k + 1]]))
+        links = new_links(*sides, similarity) if sides[0] and sides[1] else []
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return full.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
     """doc_id, class_id, class_size and text_hash of every document."""
     counted = weights == "count"
     sketched = scratch.keep(sketch(docs, counted), "sketch")
     unique = scratch.keep(sketched.filter("node is not null").select("node", "bands", "n").dropDuplicates(["node"]), "nodes")
     exploded = unique.select("node", "n", F.explode("bands").alias("band"))
-    shared = scratch.keep(exploded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band"), "shared")
-    members = scratch.keep(exploded.join(shared, "band").select("band", "node", "n"), "members-0")
+    shared = exploded.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pn"))
+    shared = scratch.keep(shared.filter("c > 1").drop("c"), "shared")
+    members = scratch.keep(exploded.join(shared, "band").select("band", "node", "n", "pivot", "pn"), "members")
     texts = scratch.keep(_read_again(docs, scratch.keep(members.select("node").distinct(), "wanted"), counted), "texts")
-    labels = edges = tested = None
-    turn, pivots = 0, 1
-    while True:
-        if labels is None:
-            labelled = members.withColumn("label", F.col("node"))
-        else:
-            known = labels.withColumnRenamed("node", "m")
-            labelled = members.join(known, members.node == known.m, "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-            labelled = scratch.keep(labelled, f"labelled-{turn}")
-        state = labelled.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        state = scratch.keep(state.filter("lo < hi").select("band", "least", "c"), f"state-{turn}")
-        draw = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        full = ALL_PAIRS[0] if turn == 0 else ALL_PAIRS[1]
-        pivot = (F.col("node") == F.col("least")) | (F.col("c") <= full) | (draw < F.lit(float(pivots)) / F.col("c"))
-        open_ = scratch.keep(labelled.join(state, "band").select("band", "node", "n", "label", pivot.alias("pivot")), f"open-{turn}")
-        p = open_.filter("pivot").select("band", F.col("node").alias("pn"), F.col("n").alias("ps"), F.col("label").alias("pl"))
-        near_size = F.least("n", "ps") >= F.greatest("n", "ps") * F.lit(similarity)
-        once = ~F.col("pivot") | (F.col("node") > F.col("pn"))
-        met = open_.join(p, "band").filter((F.col("label") != F.col("pl")) & once & near_size)
-        pairs = met.select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{turn}")
-        if turn and open_.limit(1).count() == 0:
-            break
-        xa, xb = texts.select(F.col("node").alias("a"), F.col("own").alias("xa")), texts.select(F.col("node").alias("b"), F.col("own").alias("xb"))
-        both = F.size(F.array_intersect("xa", "xb"))
-        close = both >= (F.size("xa") + F.size("xb") - both) * F.lit(similarity)
-        found = scratch.keep(pairs.join(xa, "a").join(xb, "b").filter(close).select("a", "b"), f"edges-{turn}")
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = connect(edges, scratch, f"labels-{turn}")
-        members = scratch.keep(open_.filter("not pivot").select("band", "node", "n"), f"members-{turn + 1}")
-        turn, pivots = turn + 1, pivots * 4
-    scratch.drop("texts", "nodes", "wanted", "shared")
+    near_size = F.least("n", "pn") >= F.greatest("n", "pn") * F.lit(similarity)
+    pairs = scratch.keep(members.filter((F.col("node") != F.col("pivot")) & near_size).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    xa, xb = texts.select(F.col("node").alias("a"), F.col("own").alias("xa")), texts.select(F.col("node").alias("b"), F.col("own").alias("xb"))
+    both = F.size(F.array_intersect("xa", "xb"))
+    close = both >= (F.size("xa") + F.size("xb") - both) * F.lit(similarity)
+    edges = scratch.keep(pairs.join(xa, "a").join(xb, "b").filter(close).select("a", "b"), "edges")
+    labels = connect(edges, scratch, "labels").withColumnRenamed("node", "m")
+    rest = members.filter(F.col("node") != F.col("pivot"))
+    rest = scratch.keep(rest.join(labels, rest.node == labels.m, "left").select("band", "node", "n", F.coalesce("label", "node").alias("label")), "rest")
+    more = scratch.keep(compare_blocks(rest, texts, scratch, similarity), "more-edges")
+    if not more.isEmpty():
+        labels = connect(edges.unionByName(more), scratch, "all-labels").withColumnRenamed("node", "m")
+    scratch.drop("texts", "nodes", "wanted", "shared", "members", "rest", "open", "open-members")
     by_node = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"))
-    known = labels.withColumnRenamed("node", "m")
-    named = by_node.join(known, by_node.node == known.m, "left").select("node", "id", "c", F.coalesce("label", "node").alias("label"))
+    named = by_node.join(labels, by_node.node == labels.m, "left").select("node", "id", "c", F.coalesce("label", "node").alias("label"))
     named = scratch.keep(named, "named")
     by_class = scratch.keep(named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("c").alias("class_size")), "classes")
     by_node = scratch.keep(named.join(by_class, "label").select(F.col("node").alias("m"), "class_id", "class_size"), "by-node")
