@@ -200,26 +200,30 @@ class Model:
         self.base = np.log10(n + v + 1)
 
 
+def _numbers(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype(np.int64)
+
+
 def learn(train: DataFrame, counts: DataFrame, spark_context) -> tuple[Model, object, int]:
     """The model, the broadcast head, and the count from which words are in the head."""
-    spread = counts.filter(F.col("h") != int(END_HASH)).groupBy("c").agg(F.count("*").alias("words")).toPandas().sort_values("c", ascending=False)
-    fits = spread["words"].cumsum() <= HEAD
-    least = int(spread["c"][fits].min()) if fits.any() else 1 << 62
+    spread = counts.filter(F.col("h") != int(END_HASH)).groupBy("c").agg(F.count("*").alias("words")).toArrow().sort_by([("c", "descending")])
+    fits = np.cumsum(_numbers(spread, "words")) <= HEAD
+    least = int(_numbers(spread, "c")[fits].min()) if fits.any() else 1 << 62
     totals = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("h") == int(END_HASH), F.col("c")))).first()
-    head = counts.filter((F.col("c") >= least) & (F.col("h") != int(END_HASH))).toPandas()
-    h, c, e = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), head["ending"].to_numpy(np.int64)
+    head = counts.filter((F.col("c") >= least) & (F.col("h") != int(END_HASH))).toArrow()
+    h, c, e = _numbers(head, "h").view(np.uint64), _numbers(head, "c"), _numbers(head, "ending")
     vocabulary = Vocabulary(h, c, e)
     shared = spark_context.broadcast(vocabulary)
-    by_ending = counts.filter("ending >= 0").groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
+    by_ending = counts.filter("ending >= 0").groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
     tokens, words = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    tokens[by_ending["ending"].to_numpy(np.int64)] = by_ending["c"]
-    words[by_ending["ending"].to_numpy(np.int64)] = by_ending["v"]
+    tokens[_numbers(by_ending, "ending")] = _numbers(by_ending, "c")
+    words[_numbers(by_ending, "ending")] = _numbers(by_ending, "v")
     top = np.lexsort((h, -c))[:TOP]
     tokens -= np.bincount(e[top], c[top], ENDINGS)
     words -= np.bincount(e[top], minlength=ENDINGS)
-    pairs = count_bigrams(train, shared).toPandas()
+    pairs = count_bigrams(train, shared).toArrow()
     bigrams = np.zeros(UNITS * UNITS)
-    bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["c"]
+    bigrams[_numbers(pairs, "pair")] = _numbers(pairs, "c")
     return Model(bigrams.reshape(UNITS, UNITS), tokens, words, totals[0] or 0, totals[1] or 0, totals[2] or 0), shared, least
 
 
