@@ -215,6 +215,16 @@ def stream_starts(tokens: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(base), "part").withColumn("start", F.col("part_start") + F.col("_base"))
 
 
+def metadata(tokens: DataFrame) -> DataFrame:
+    """doc_id and n_tokens alone; the ids' column chunks are not read."""
+    return tokens.select("doc_id", "n_tokens")
+
+
+def select_documents(tokens: DataFrame, first: int, last: int) -> DataFrame:
+    """doc_id and tokens of a range of doc_id; row groups and pages outside are skipped by their statistics."""
+    return tokens.filter(F.col("doc_id").between(first, last)).select("doc_id", "tokens")
+
+
 def crc_of_ids(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the unsigned crc32 of each row's ids as little-endian 32-bit integers."""
 
