@@ -251,8 +251,8 @@ def new_links(minor: list, major: list, similarity: float) -> list[tuple[int, in
 
 def compare_blocks(members: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """New links (a, b) in buckets of several classes; members: band, node, n, label."""
-    counts = members.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node")).alias("h"))
-    state = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("size"), F.sum("h").alias("h"))
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("h"))
+    state = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("size"), F.bit_xor("h").alias("h"))
     # buckets of the same members are one
     once = state.filter("labels > 1").groupBy("size", "h").agg(F.min(F.struct("band", F.col("m.label").alias("main"))).alias("b"))
     once = scratch.keep(once.select("b.band", "b.main"), "open")
