@@ -79,9 +79,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, str]], reject: float = REJECT) -> Model | None:
-    """``rows``: the counts of a text's buckets as pairs (bucket, count), and its language."""
-    langs = sorted({lang for _, lang in rows})
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], reject: float = REJECT) -> Model | None:
+    """``rows``: a text's buckets, their shares, and its language."""
+    langs = sorted({lang for _, _, lang in rows})
     if not langs:
         return None
     random = np.random.Generator(np.random.PCG64(7))
@@ -89,16 +89,14 @@ def train(rows: list[tuple[np.ndarray, str]], reject: float = REJECT) -> Model |
     layer, bias = random.normal(0, 0.1, (WIDTH, len(langs))), np.zeros(len(langs))
     held = [i for i in range(len(rows)) if i % 5 == 4] if len(rows) >= 20 else []
     fit = sorted(set(range(len(rows))) - set(held))
-    target = np.array([langs.index(lang) for _, lang in rows])
+    target = np.array([langs.index(lang) for _, _, lang in rows])
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         order = random.permutation(fit)
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            pairs = [rows[i][0] for i in batch]
-            sizes = [len(p) for p in pairs]
-            flat = np.concatenate(pairs)
-            key, weight = flat[:, 0].astype(np.int64), flat[:, 1]
+            sizes = [len(rows[i][0]) for i in batch]
+            key, weight = np.concatenate([rows[i][0] for i in batch]), np.concatenate([rows[i][1] for i in batch])
             edges = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             mean = np.add.reduceat(table[key] * weight[:, None], edges, axis=0)
             p = _softmax(mean @ layer + bias)
@@ -109,8 +107,7 @@ def train(rows: list[tuple[np.ndarray, str]], reject: float = REJECT) -> Model |
             np.subtract.at(table, key, rate * np.repeat(back, sizes, axis=0) * weight[:, None])
     model = Model(langs, table @ layer, bias)
     check = held or fit
-    keys = np.concatenate([rows[i][0][:, 0].astype(np.int64) for i in check])
-    weights = np.concatenate([rows[i][0][:, 1] for i in check])
+    keys, weights = np.concatenate([rows[i][0] for i in check]), np.concatenate([rows[i][1] for i in check])
     doc = np.repeat(np.arange(len(check)), [len(rows[i][0]) for i in check])
     z = np.stack([np.bincount(doc, weights=model.logits[keys, k] * weights, minlength=len(check)) for k in range(len(langs))], 1) + bias
     right = target[check]
@@ -135,15 +132,18 @@ def fit(docs: DataFrame, most_training: int = MOST_TRAINING, reject: float = REJ
             keys, doc = subwords(batch.column("text"))
             keys, counts = keys[np.argsort(doc, kind="stable")], np.bincount(doc, minlength=batch.num_rows)
             ends = np.cumsum(counts)
-            out = []
+            found, times = [], []
             for a, b in zip(ends - counts, ends):
                 k, n = np.unique(keys[a:b], return_counts=True)
-                out.append(np.stack([k, n / max(b - a, 1)], 1).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "lang", "x"])
-
-    got = sample.mapInArrow(count, "doc_id long, lang string, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_training).toPandas()
-    pairs = [(np.asarray(x, np.float64).reshape(-1, 2), lang) for x, lang in zip(got["x"], got["lang"]) if len(x)]
-    return train(pairs, reject)
+                found.append(k.astype(np.int16))
+                times.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.list_(pa.int16())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "lang", "k", "n"])
+
+    got = sample.mapInArrow(count, "doc_id long, lang string, k array<smallint>, n array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_training).toArrow()
+    keys, times = (got.column(c).combine_chunks() for c in ("k", "n"))
+    ends, k, n = keys.offsets.to_numpy(), keys.values.to_numpy(), times.values.to_numpy()
+    rows = [(k[a:b], n[a:b] / n[a:b].sum(), lang) for a, b, lang in zip(ends[:-1], ends[1:], got.column("lang").to_pylist()) if b > a]
+    return train(rows, reject)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFrame:
