@@ -364,7 +364,7 @@ def test_preference_on_hard_rows(spark):
         (3, 0, None, None), (4, None, "assistant", ""), (None, 0, "assistant", "lost"), (6, 0, "assistant", "same"), (7, 0, "assistant", "same"), (8, 5, "assistant", "one"), (8, 5, "assistant", "two"), (9, 2000, "assistant", "far"), (9, 1, "user", "near"),
     ]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
-    got = preference.preference_pairs(*preference.swapped_replies(df, Scratch(spark, "t")), Scratch(spark, "t"))
+    got = preference.format_pairs(preference.swapped_replies(df, Scratch(spark, "t")), Scratch(spark, "t"))
     c = duckdb.connect()
     table = pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), r)) for r in rows])
     c.register("conversations", table)
@@ -376,9 +376,18 @@ def test_preference_on_hard_rows(spark):
     assert first.chosen == "<|assistant|>\nA<|end|>\n<|user|>\ntrail<|end|>\n" and first.chosen_spans == "14:9"
 
 
+def test_pairs_of_two_tables(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "only chosen")]
+    chosen = spark.createDataFrame(rows, "pair_id long, turn long, role string, text string")
+    rejected = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", "why")], chosen.schema)
+    got = {r.pair_id: r for r in preference.preference_pairs(chosen, rejected, Scratch(spark, "t")).collect()}
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == ("<|user|>\nq<|end|>\n", "<|assistant|>\ngood<|end|>\n", "<|assistant|>\nbad<|end|>\n<|user|>\nwhy<|end|>\n")
+    assert got[1].rejected_spans == "14:11" and got[2].rejected == "" and got[2].differs
+
+
 def test_preference_of_empty_tables(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert preference.preference_pairs(*preference.swapped_replies(none, Scratch(spark, "t")), Scratch(spark, "t")).count() == 0
+    assert preference.format_pairs(preference.swapped_replies(none, Scratch(spark, "t")), Scratch(spark, "t")).count() == 0
 
 
 # ------------------------------------------------------------------ 10 near duplicates

@@ -77,20 +77,21 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, scratch: Scratch, k
     return format_pairs(sides[0].unionByName(sides[1]), scratch)
 
 
-def swapped_replies(conversations: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected turns made of plain conversations.
+def swapped_replies(conversations: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows for ``format_pairs`` made of plain conversations.
 
     Chosen is a conversation as it is.  Rejected is what comes before its last assistant
     turn, then the last assistant turn of its neighbour (ids 2k and 2k+1 are neighbours);
     nothing if the neighbour has none.  Without an assistant turn both are alike.
     """
-    rows = turns(conversations, "conv_id").distinct()
-    last = rows.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("l"))
+    rows = turns(conversations, "conv_id")
+    last = rows.filter("role = 'assistant' and pair_id is not null").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("l"))
     last = scratch.keep(last.select(F.col("pair_id").alias("p"), F.col("l.turn").alias("last_turn"), F.col("l.text").alias("reply")), "last")
-    before = rows.join(last.select("p", "last_turn"), F.col("pair_id") == F.col("p"), "left").filter(F.col("last_turn").isNull() | (F.col("turn") < F.col("last_turn")))
+    kept = rows.join(last.select("p", "last_turn"), F.col("pair_id") == F.col("p"), "left")
+    kept = kept.select("pair_id", "turn", "role", "text", F.lit(True).alias("chosen"), (F.col("last_turn").isNull() | (F.col("turn") < F.col("last_turn"))).alias("rejected"))
     other = last.select(F.col("p").bitwiseXOR(F.lit(1)).alias("q"), F.col("reply").alias("other"))
-    swapped = last.join(other, F.col("p") == F.col("q")).select(F.col("p").alias("pair_id"), F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return rows, before.select("pair_id", "turn", "role", "text").unionByName(swapped)
+    swapped = last.join(other, F.col("p") == F.col("q")).select(F.col("p").alias("pair_id"), F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"), F.lit(False).alias("chosen"), F.lit(True).alias("rejected"))
+    return kept.unionByName(swapped)
 
 
 SWAPPED_SQL = """

@@ -55,8 +55,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op9")
-    chosen, rejected = preference.swapped_replies(table(spark, sf_dir, "conversations"), scratch)
-    return preference.preference_pairs(chosen, rejected, scratch)
+    return preference.format_pairs(preference.swapped_replies(table(spark, sf_dir, "conversations"), scratch), scratch)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
