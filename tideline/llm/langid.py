@@ -5,7 +5,8 @@ A text's subwords are its words (A-Z in lower case) and, within them, all runs o
 a text's rows goes through a linear layer and a softmax.  Both are trained in numpy by
 stochastic gradient descent on at most ``MOST_TRAINING`` documents, those of the least
 hashes; a fifth of these only calibrates the temperature and the score below which a
-prediction is rejected: the least that rejects at most ``REJECT`` of calibration rows.
+prediction is rejected: the one that rejects ``REJECT`` of calibration rows, but never
+above ``SURE``, so that what is likelier right than wrong stays.
 For scoring, the product of table and layer is folded into one table of logits, so each
 subword costs one lookup and each text one mean.
 
@@ -30,6 +31,7 @@ ALPHABET[97:123] = ALPHABET[128:] = True
 
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (2, 3)
 MOST_TRAINING, EPOCHS, BATCH, RATE, REJECT = 4_000, 12, 64, 0.5, 0.002
+SURE = 0.5
 UNKNOWN = "und"
 
 
@@ -114,7 +116,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], reject: float = REJECT
     loss = {t: -np.log(np.maximum(_softmax(z * t)[np.arange(len(check)), right], 1e-12)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)}
     model.temperature = min(loss, key=loss.get)
     scores = np.sort(_softmax(z * model.temperature).max(1))
-    model.floor = float(scores[int(len(scores) * reject)]) * 0.9
+    model.floor = min(float(scores[int(len(scores) * reject)]), SURE)
     return model
 
 
