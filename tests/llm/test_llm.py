@@ -346,6 +346,20 @@ def test_pieces_fill_blocks(spark):
         assert all(b == a + q.last - q.first or b == 0 for a, b, q in zip(at, at[1:], run))
 
 
+def test_small_sources_take_their_targets(spark, monkeypatch):
+    docs = [(i, "w " * 20, "a") for i in range(10)] + [(i, "w " * 7, "b") for i in range(10, 11)] + [(i, "w " * 300, "c") for i in range(20, 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 1_024)  # as in a large corpus
+    got = mixing.mix(df, Scratch(spark, "t")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    target = {r.source: r.target for r in got}
+    assert target["a"] == 600 and target["b"] == 21 and all(taken[s] == math.ceil(t - 1e-9) for s, t in target.items())
+    whole = Counter(r.doc_id for r in mixing.mix_documents(df, Scratch(spark, "t")).collect())
+    assert all(whole[i] == 3 for i in range(11))
+
+
 def test_mix_of_hard_rows(spark, hard):
     got = mixing.mix(hard, Scratch(spark, "t")).collect()
     assert sorted(r.size for r in got) == sorted(len(solid(r.text)) for r in hard.collect())

@@ -1,17 +1,20 @@
 """Mixing sources to target weights with a low-discrepancy schedule of equal-token blocks.
 
 A source's documents, in a shuffled order, form one stream of words that is cut into
-blocks of ``block`` words.  The schedule has slots; slot i maps the golden-ratio point
-frac((i + 1/2) * phi) through the sources' cumulative targets, so every stretch of slots
-comes near the targets.  The r-th slot of a source takes block r modulo its blocks: a
-source that is asked for more than it has repeats in whole passes.  Joining slots and
-documents by source and block gives the mix: pieces of documents in the order of slots.
+blocks of ``block`` words, or of 1/``LEAST_SLOTS`` of its target where that is less.  A
+source has as many slots as its blocks need to give its target; the last slot is cut to
+what is left, so a source takes its target, rounded up to words, whatever its size.  Slot
+i has the golden-ratio point frac((i + 1/2) * phi); the points' ranks map through the
+sources' cumulative numbers of slots, so every stretch of slots comes near the targets.
+The r-th slot of a source takes block r modulo its blocks: a source that is asked for more
+than it has repeats in whole passes.  Joining slots and documents by source and block
+gives the mix: pieces of documents in the order of slots.
 
 Places and ranks are sums over ordered tables (``running_sums``), so neither a hot source
 nor many sources meet in one task: a document's place in its source's stream is a running
 sum over (source, hash) less the sum before its source, a slot's rank the same over
-(source, slot), and points are matched with targets by one ordering of both.  The join is
-by source and block, of which each holds ``block`` words and a few slots.
+(source, slot), and points' ranks are matched with slots by one ordering of both.  The
+join is by source and block, of which each holds ``block`` words at most and a few slots.
 
 Targets: a source's share of all words by weight, stopped at ``MOST_PASSES`` times its
 size; what is above goes to the others by weight until none is above.
@@ -37,6 +40,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 GOLDEN = 0.6180339887498949
 SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 16, 1, 1_024  # blocks hold words / SLOTS words, within these
+LEAST_SLOTS = 8  # of a source with as many words to take
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -75,32 +79,45 @@ def block_words(total: int) -> int:
     return int(min(max(total // SLOTS, LEAST_BLOCK), MOST_BLOCK))
 
 
+def own_block(words, block: int):
+    """The words in a block of a source that is to take ``words``."""
+    return F.greatest(F.least(F.floor(words / LEAST_SLOTS), F.lit(block)), F.lit(1)).cast("long")
+
+
+def slot_plan(shares: DataFrame, block: int) -> DataFrame:
+    """The shares with each source's block size (``own``), blocks in a pass, slots, and words of its last slot."""
+    size, own, words = F.col("source_size"), F.col("own"), F.col("words")
+    over = F.when(size > 0, words % size).otherwise(0)  # words beyond whole passes
+    cut = F.ceil(over / own).cast("long")
+    end = F.when(over > 0, over - (cut - 1) * own).otherwise(size - (F.col("blocks") - 1) * own)
+    planned = shares.withColumn("own", own_block(words, block)).withColumn("blocks", F.ceil(size / own).cast("long"))
+    return planned.withColumns({"slots": F.when(size > 0, F.floor(words / size) * F.col("blocks") + cut).otherwise(0).cast("long"), "end": end.cast("long")})
+
+
 def schedule(shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """slot, point and place: which source (by place) each slot takes; shares: place and words."""
+    """slot, point and place: which source (by place) each slot takes; shares: place, and slots or else words."""
     spark = shares.sparkSession
-    edges = running_sums(shares.select("place", "words"), ["place"], {"before": "words"}, scratch, "edges")
-    total = edges.agg(F.sum("words")).first()[0] or 0
-    slots = -(-total // block)
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0)) * total).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("step"))
-    marks = edges.filter("words > 0").select(F.lit(None).cast("long").alias("slot"), F.col("before").cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step"))
-    ranked = running_sums(points.unionByName(marks), ["at", "kind", "slot"], {"passed": "step"}, scratch, "points")
-    # a point's source is the last mark passed; marks are numbered among sources with a target
-    numbered = running_sums(edges.filter("words > 0").select("place", F.lit(1).cast("long").alias("one")), ["place"], {"passed": "one"}, scratch, "numbers")
+    slots = F.col("slots") if "slots" in shares.columns else F.ceil(F.col("words") / block).cast("long")
+    edges = running_sums(shares.select("place", slots.alias("slots")), ["place"], {"before": "slots"}, scratch, "edges").filter("slots > 0")
+    total = edges.agg(F.sum("slots")).first()[0] or 0
+    points = spark.range(total).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0)).alias("at"), F.lit(1).cast("long").alias("one"))
+    points = running_sums(points, ["at", "slot"], {"number": "one"}, scratch, "point-ranks").select("slot", "at", "number", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("step"))
+    marks = edges.select(F.lit(None).cast("long").alias("slot"), F.lit(None).cast("double").alias("at"), F.col("before").alias("number"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step"))
+    ranked = running_sums(points.unionByName(marks), ["number", "kind"], {"passed": "step"}, scratch, "points")
+    # a rank's source is the last mark passed; marks are numbered among sources with slots
+    numbered = running_sums(edges.select("place", F.lit(1).cast("long").alias("one")), ["place"], {"passed": "one"}, scratch, "numbers")
     return ranked.filter("kind = 1").select("slot", "at", (F.col("passed") - 1).alias("passed")).join(numbered.select("place", "passed"), "passed").select("slot", "at", "place")
 
 
-def ranked(slots: DataFrame, shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """slot, place, rank (the slot's number among its source's) and the block that it takes.
-
-    A source's slots beyond ``MOST_PASSES`` passes, which only rounding can give, take nothing.
-    """
+def ranked(slots: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
+    """slot, place, rank (the slot's number among its source's), the block that it takes, and where in the stream it stops at most."""
     ordered = running_sums(slots.select("place", "slot", F.lit(1).cast("long").alias("one")), ["place", "slot"], {"number": "one"}, scratch, "ranks")
-    counts = slots.groupBy("place").agg(F.count("*").alias("n"))
-    starts = running_sums(counts, ["place"], {"first": "n"}, scratch, "rank-starts").select("place", "first")
-    blocks = F.greatest(F.ceil(F.col("source_size") / F.lit(block)).cast("long"), F.lit(1))
-    known = scratch.keep(starts.join(shares.select("place", blocks.alias("blocks")), "place"), "rank-plan")
+    starts = running_sums(plan.select("place", "own", "blocks", "slots", "end"), ["place"], {"first": "slots"}, scratch, "rank-starts")
+    known = scratch.keep(starts.filter("slots > 0"), "rank-plan")
     rows = ordered.join(known, "place").withColumn("rank", F.col("number") - F.col("first"))
-    return rows.filter(F.col("rank") < F.col("blocks") * MOST_PASSES).select("slot", "place", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    block = F.col("rank") % F.col("blocks")
+    words = F.when(F.col("rank") == F.col("slots") - 1, F.col("end")).otherwise(F.col("own"))
+    return rows.select("slot", "place", "rank", block.alias("block"), (block * F.col("own") + words).alias("stop"))
 
 
 def place_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> tuple[DataFrame, DataFrame]:
@@ -117,12 +134,15 @@ def place_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS)
 
 def mix_pieces(placed: DataFrame, shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """The mix: slot, place, at (which document of the source), first and last word (exclusive) of the piece within it."""
-    slots = scratch.keep(ranked(scratch.keep(schedule(shares, scratch, block), "slots"), shares, scratch, block), "ranked")
-    end = F.col("at") + F.col("size")
-    spread = placed.filter("size > 0").select("place", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("block"))
-    low, high = F.greatest(F.col("at"), F.col("block") * block), F.least(end, (F.col("block") + 1) * block)
-    pieces = spread.select("place", "block", "at", (low - F.col("at")).alias("first"), (high - F.col("at")).alias("last"))
-    return slots.join(pieces, ["place", "block"]).select("slot", "place", "at", "first", "last")
+    plan = scratch.keep(slot_plan(shares, block), "plan")
+    slots = scratch.keep(ranked(scratch.keep(schedule(plan, scratch, block), "slots"), plan, scratch), "ranked")
+    end, own = F.col("at") + F.col("size"), F.col("own")
+    sized = placed.filter("size > 0").withColumn("own", own_block(F.ceil("target").cast("long"), block))
+    spread = sized.select("place", "at", "size", "own", F.explode(F.sequence(F.floor(F.col("at") / own), F.floor((end - 1) / own))).alias("block"))
+    low, high = F.greatest(F.col("at"), F.col("block") * own), F.least(end, (F.col("block") + 1) * own)
+    pieces = spread.select("place", "block", "at", low.alias("low"), high.alias("high"))
+    joined = slots.join(pieces, ["place", "block"]).filter("low < stop")
+    return joined.select("slot", "place", "at", (F.col("low") - F.col("at")).alias("first"), (F.least("high", "stop") - F.col("at")).alias("last"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, block: int | None = None) -> DataFrame:
