@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm import audio, brown, decontaminate, langid, mixing, neardup, preference, quality, queries, sharding, tokens
@@ -266,6 +267,26 @@ def test_media_round_trip(spark, hard):
     assert tensors.to_numpy_ndarray().shape == (len(f[0].tensors), audio.FRAMES, audio.MELS)
 
 
+def test_query_derives_features_from_stored_tensors(spark, hard, monkeypatch):
+    kept = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, **o: kept.setdefault(name, keep(self, df, name, **o)))
+    monkeypatch.setattr(queries, "table", lambda *_: hard)
+    got = queries.op6_audio_media(spark, "")
+    stored = next(df for df in kept.values() if "tensors" in df.columns)
+    rows = stored.collect()
+    assert len(rows) == hard.count()
+    for r in rows:
+        t = audio.from_cell(r.tensors)
+        assert t.type == pa.fixed_shape_tensor(pa.float32(), (audio.FRAMES, audio.MELS), dim_names=("frame", "mel")) and len(t) == len(r.window_spans)
+        mels, energy, rate = audio.log_mel(*audio.from_wave(bytes(r.media)))
+        assert np.abs(t.to_numpy_ndarray() - audio.windows(mels)).max() < 1e-3 and [(x.start, x.end) for x in r.spans] == [(a / rate, b / rate) for a, b in audio.segments(energy)]
+    short = {(r.media_sha256, r.feature) for r in got.collect()}
+    assert short == {(r.media_sha256, r.feature) for r in audio.digest(stored.select("doc_id", "n_bytes", "media")).collect()}
+    changed = stored.withColumn("tensors", F.lit(audio.to_cell(audio.as_tensors(pa.array([np.ones(audio.FRAMES * audio.MELS)], pa.list_(pa.float32()))))))
+    assert all(r.feature.endswith(",".join(["1.00"] * audio.MELS)) for r in audio.digest(changed).collect())
+
+
 def test_resampling_and_segments(monkeypatch):
     t = np.arange(16_000) / 16_000
     y = audio.resample(np.sin(2 * np.pi * 440 * t).astype(np.float32))

@@ -7,6 +7,9 @@ energies.  Frames are segmented by energy with hysteresis: a segment begins wher
 rises above the upper threshold and ends where it falls below the lower.  Features are
 windows of ``FRAMES`` x ``MELS`` values, zero-padded at the end: each has the same shape,
 so a column of them is a fixed-shape Arrow tensor (``as_tensors``), with its time span.
+``store_features`` writes media, tensors and time spans to one Parquet table; Parquet has
+no fixed-shape lists, so a document's tensors lie in a binary cell, an Arrow stream that
+names their type and shape.  ``digest`` takes the features from the cells read back.
 
 Samples are filtered, framed and transformed in blocks, so memory follows the block and
 the features, not the length of the file.  Null and empty texts become 64 bytes of 0.
@@ -35,6 +38,9 @@ RISE, FALL = 6.0, 3.0  # dB over the floor, which is the 10th percentile of fram
 BLOCK = 2_048  # frames transformed at once
 MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, media binary, n_frames long, spans array<struct<start:double,end:double>>, window_spans array<struct<start:double,end:double>>, tensors array<array<float>>"
+STORED = FEATURES.replace("array<array<float>>", "binary")
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=("frame", "mel"))
+SPANS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 
 
 def to_wave(payload: bytes, rate: int = RATE) -> bytes:
@@ -146,77 +152,102 @@ def windows(mels: np.ndarray) -> np.ndarray:
     return out
 
 
-def store_media(docs: DataFrame, scratch: Scratch, name: str = "media") -> DataFrame:
-    """The whole text of each document as a media column, written to Parquet and read back."""
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        media = [to_wave(r + bytes(-len(r) % UNIT if r else UNIT)) for r in raw]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            media = [to_wave(r + bytes(-len(r) % UNIT if r else UNIT)) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return scratch.keep(rows.mapInArrow(encode, MEDIA), name, compression="zstd")
+def store_media(docs: DataFrame, scratch: Scratch, name: str = "media") -> DataFrame:
+    """The whole text of each document as a media column, written to Parquet and read back."""
+    return scratch.keep(_texts(docs).mapInArrow(_encode, MEDIA), name, compression="zstd")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[list[tuple]]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        piece, size = [], 0
-        for row in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media")):
-            piece.append((row[0], row[1], row[2].as_buffer()))
-            size += row[2].as_buffer().size
+        at, size = 0, 0
+        for i, media in enumerate(batch.column("media")):
+            size += media.as_buffer().size
             if size >= most:
-                yield piece
-                piece, size = [], 0
-        if piece:
-            yield piece
+                yield batch.slice(at, i + 1 - at)
+                at, size = i + 1, 0
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def _extract(batches: Iterator[pa.RecordBatch], tensors_of, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for piece in _pieces(batches):
+        counts, spans, window_spans, tensors = [], [], [], []
+        for stored in piece.column("media"):
+            mels, energy, rate = log_mel(*from_wave(stored.as_buffer()))
+            w = windows(mels)
+            counts.append(len(mels))
+            spans.append([{"start": a / rate, "end": b / rate} for a, b in segments(energy)])
+            window_spans.append([{"start": i * FRAMES / rate, "end": min((i + 1) * FRAMES, len(mels)) / rate} for i in range(len(w))])
+            tensors.append(tensors_of(w))
+        columns = [*map(piece.column, ("doc_id", "n_bytes", "media")), pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(window_spans, SPANS), pa.array(tensors, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media", "n_frames", "spans", "window_spans", "tensors"])
+
+
+def _extract_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _extract(batches, lambda w: to_cell(as_tensors(pa.array([w.reshape(-1)], pa.list_(pa.float32())))), pa.binary())
 
 
 def extract_features(media: DataFrame) -> DataFrame:
     """The media with their segments' time spans and feature windows, each FRAMES*MELS values with its own span."""
+    return media.mapInArrow(lambda batches: _extract(batches, lambda w: list(w.reshape(len(w), -1)), pa.list_(pa.list_(pa.float32()))), FEATURES)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
-        for piece in _pieces(batches):
-            out = []
-            for doc_id, n_bytes, stored in piece:
-                mels, energy, rate = log_mel(*from_wave(stored))
-                w = windows(mels)
-                spans = [{"start": a / rate, "end": b / rate} for a, b in segments(energy)]
-                window_spans = [{"start": i * FRAMES / rate, "end": min((i + 1) * FRAMES, len(mels)) / rate} for i in range(len(w))]
-                out.append((doc_id, n_bytes, stored.to_pybytes(), len(mels), spans, window_spans, list(w.reshape(len(w), -1))))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), span, span, pa.list_(pa.list_(pa.float32()))]
-            names = ["doc_id", "n_bytes", "media", "n_frames", "spans", "window_spans", "tensors"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return media.mapInArrow(extract, FEATURES)
+def store_features(docs: DataFrame, scratch: Scratch, name: str = "features") -> DataFrame:
+    """The media of whole texts with fixed-shape tensors and time spans, written to one Parquet table and read back."""
+    return scratch.keep(_texts(docs).mapInArrow(lambda batches: _extract_cells(_encode(batches)), STORED), name, compression="zstd")
 
 
 def as_tensors(lists: pa.Array) -> pa.ExtensionArray:
     """A column of feature windows, as read from ``tensors`` (one list level off), as a fixed-shape Arrow tensor array."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=("frame", "mel"))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(lists.flatten(), FRAMES * MELS))
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(lists.flatten(), FRAMES * MELS))
+
+
+def to_cell(tensors: pa.ExtensionArray) -> bytes:
+    """A fixed-shape tensor array as an Arrow stream."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays([tensors], names=["tensor"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_cell(cell: bytes | pa.Buffer) -> pa.ExtensionArray:
+    """The fixed-shape tensor array of a stored cell."""
+    tensors = pa.ipc.open_stream(cell).read_next_batch().column(0)
+    if tensors.type != TENSOR:
+        raise ValueError(f"the cell holds {tensors.type}, not {TENSOR}")
+    return tensors
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What was stored of each document, as read back, and its features in short.
+    """What was stored of each document, as read back, and its stored features in short.
 
     ``feature``: frames, windows, segments, seconds in segments and the mean of each mel band.
+    Media without features get theirs first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
             out = []
-            for doc_id, n_bytes, stored in piece:
-                samples, rate = from_wave(stored)
-                mels, energy, frame_rate = log_mel(samples, rate)
-                spans, w = segments(energy), windows(mels)
-                tensors = as_tensors(pa.array(list(w.reshape(len(w), -1)), pa.list_(pa.float32())))
-                mean = tensors.storage.flatten().to_numpy().reshape(-1, MELS)[: len(mels)].mean(0, dtype=np.float64)
-                seconds = sum(b - a for a, b in spans) / frame_rate
-                feature = f"{len(mels)}|{len(w)}|{len(spans)}|{seconds:.2f}|" + ",".join(f"{v:.2f}" for v in mean)
-                out.append((doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), stored.size, hashlib.sha256(stored).hexdigest(), feature))
+            for doc_id, n_bytes, stored, n_frames, spans, cell in zip(*(piece.column(c) for c in ("doc_id", "n_bytes", "media", "n_frames", "spans", "tensors"))):
+                stored, n = stored.as_buffer(), n_frames.as_py()
+                samples, spans, tensors = from_wave(stored)[0], spans.as_py(), from_cell(cell.as_buffer())
+                mean = tensors.storage.flatten().to_numpy().reshape(-1, MELS)[:n].mean(0, dtype=np.float64)
+                seconds = sum(x["end"] - x["start"] for x in spans)
+                feature = f"{n}|{len(tensors)}|{len(spans)}|{seconds:.2f}|" + ",".join(f"{v:.2f}" for v in mean)
+                out.append((doc_id.as_py(), n_bytes.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), stored.size, hashlib.sha256(stored).hexdigest(), feature))
             i, s = pa.int64(), pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (i, i, i, s, i, i, s, s))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    stored = media if "tensors" in media.columns else media.mapInArrow(_extract_cells, STORED)
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

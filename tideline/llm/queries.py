@@ -41,7 +41,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest(audio.store_media(table(spark, sf_dir, "documents"), Scratch(spark, "op6")))
+    return audio.digest(audio.store_features(table(spark, sf_dir, "documents"), Scratch(spark, "op6")))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
