@@ -242,3 +242,21 @@ def test_stream_restarts_after_its_offsets(spark, tmp_path):
     assert rows == 2
     assert {r.shard_id: r.checkpoint for r in run.stored(spark).collect()} == {"s0": "31", "s1": "30", "s2": "5"}
     assert spark.read.parquet(out + "/outcomes").count() == 32
+
+
+def test_health_counts_beyond_recent_progress(spark, tmp_path):
+    source.register(spark)
+    path = log(tmp_path)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        stream = spark.readStream.format("shardlog").option("path", path).load()
+        run = Run(stream, model.StreamConfig("g", stream_name="s"), model.HandlerOptions(policy="skip", tuning=model.Tuning(batch_size=10)), str(tmp_path / "out"), on_record=lambda row: None, sleep=lambda s: None)
+        q = run.start(str(tmp_path / "cp"))
+        q.processAllAvailable()
+        source.write_shard_log([("s0", "31", "k", b"x")], path)
+        q.processAllAvailable()
+        health = run.health()
+        run.close()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert (health["batches"], health["rows"]) == (2, 31)

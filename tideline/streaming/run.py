@@ -25,6 +25,7 @@ class Run:
         self.records, self.config, self.options, self.out = records, config, options, out.rstrip("/")
         self.on_record, self.on_batch, self.sleep = on_record, on_batch, sleep
         self.query, self.closed = None, False
+        self.batches, self.rows, self.last = 0, 0, -1
 
     def _batch(self, df: DataFrame, epoch: int) -> None:
         spark, t = df.sparkSession, self.options.tuning
@@ -39,6 +40,8 @@ class Run:
         progress = failures.progress(rows, self.options)
         saves = checkpoints.saves_of(progress, t.checkpoint_every, self.config.identity, drained=True)  # each batch ends at its tip
         saves.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{self.out}/saves/epoch={epoch}")
+        if epoch != self.last:  # a batch that runs again counts once
+            self.batches, self.rows, self.last = self.batches + 1, self.rows + rows.count(), epoch
 
     def start(self, location: str, available_now: bool = False):
         if self.closed:
@@ -69,9 +72,8 @@ class Run:
         """State, batches and rows so far, and the last error."""
         if self.query is None:
             return {"state": "closed" if self.closed else "new", "batches": 0, "rows": 0, "error": None}
-        progress = self.query.recentProgress
         error = self.query.exception()
-        return {"state": "running" if self.query.isActive else "stopped", "batches": len(progress), "rows": sum(p["numInputRows"] for p in progress), "error": str(error) if error else None}
+        return {"state": "running" if self.query.isActive else "stopped", "batches": self.batches, "rows": self.rows, "error": str(error) if error else None}
 
     def stored(self, spark: SparkSession) -> DataFrame:
         """The checkpoint table after all batches so far."""
