@@ -4,8 +4,8 @@ Tokens are the words of a text, A-Z in lower case, and an end.  The ``TOP`` most
 words are units of their own; every other word belongs to one of ``ENDINGS`` units by a
 hash of its last bytes; the end is a unit.  Exchange clustering on the units' bigram
 counts assigns units to ``CLASSES`` classes: each unit in turn moves to the class that
-gives the training text the greatest likelihood, until a pass moves none.  A token's
-probability is
+gives the training text the greatest likelihood, until a pass moves none or ``PASSES`` passes
+are done.  A token's probability is
 
     P(class | class before) * P(unit | class) * P(word | unit),
 
