@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20  # text that one numpy pass takes at once, unless one text is longer
+SLICE_BYTES = 1 << 19  # text that one numpy pass takes at once, unless one text is longer
+BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to a worker, unless the session sets another bound
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -31,6 +32,36 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes: rows alone are no bound where texts are long.
+
+    The bound is a setting of the session and stays there; one that is set already is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+class Carried:
+    """Columns of ``docs`` that go along with a pass over its texts, as _keep_0, _keep_1, ...; the text is sent once."""
+
+    def __init__(self, docs: DataFrame, names: list[str]):
+        kinds = [docs.schema[c].dataType for c in names]
+        self.is_text = [c == "text" and isinstance(k, T.StringType) for c, k in zip(names, kinds)]
+        self.fields = [T.StructField(f"_keep_{i}", k, True) for i, k in enumerate(kinds)]
+        self.names = [f.name for f in self.fields]
+        self.sources = list(names)
+
+    def columns(self) -> list:
+        return [column(c).alias(k) for c, k, same in zip(self.sources, self.names, self.is_text) if not same]
+
+    def arrays(self, texts: pa.Array, rest: list[pa.Array]) -> list[pa.Array]:
+        """The carried columns of a batch from its texts and those that ``columns()`` selected."""
+        others = iter(rest)
+        return [texts if same else next(others) for same in self.is_text]
+
+
 # --------------------------------------------------------------- scratch tables
 
 
@@ -51,10 +82,11 @@ class Scratch:
     """Tables written to the shared folder and read back: a cut in the lineage that outlives executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.names = spark, set()
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str, **options: object) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(_nullable(df.schema)).parquet(f"{self.path}/{name}")
 
@@ -62,12 +94,36 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Drops what a result no longer needs."""
+        self.drop(*sorted(self.names - {*names}))
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+class HashFilter:
+    """Which 64-bit hashes may be in a set: 16 bits for each, within bounds; a few pass by chance, ever more beyond the bound."""
+
+    LEAST, MOST = 1 << 20, 1 << 27  # bits
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes``: one column."""
+        name, n = hashes.columns[0], hashes.count()
+        self.bits = min(max(1 << (16 * n).bit_length(), self.LEAST), self.MOST)
+        slots = hashes.select(F.pmod(name, F.lit(self.bits)).cast("int").alias("s"))
+        got = slots.groupBy(F.expr("s div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 64))").alias("b")).toArrow()
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes % self.bits
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 # ------------------------------------------------------------------ running sums
 
 
@@ -94,7 +150,7 @@ def running_sums(df: DataFrame, order: list, sums: dict[str, str], scratch: Scra
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = scratch.keep(dealt.mapInArrow(local, schema), name)
+    kept = scratch.keep(map_arrow(dealt, local, schema), name)
     totals = kept.groupBy("_part").agg(*[F.sum(c).alias(f"t{i}") for i, c in enumerate(columns)])
     rows = sorted(totals.collect())  # one per partition
     bases, at = [], [0] * len(columns)

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _LOWER, column, find_words, hash_spans, mix, remainder, slices, text_bytes
+from .common import _LOWER, Carried, find_words, hash_spans, map_arrow, mix, remainder, slices, text_bytes
 
 ALPHABET = np.zeros(256, bool)  # bytes of words: a-z and all that is not ASCII
 ALPHABET[97:123] = ALPHABET[128:] = True
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, most_training: int = MOST_TRAINING, reject: float = REJ
                 times.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.list_(pa.int16())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "lang", "k", "n"])
 
-    got = sample.mapInArrow(count, "doc_id long, lang string, k array<smallint>, n array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_training).toArrow()
+    got = map_arrow(sample, count, "doc_id long, lang string, k array<smallint>, n array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_training).toArrow()
     keys, times = (got.column(c).combine_chunks() for c in ("k", "n"))
     ends, k, n = keys.offsets.to_numpy(), keys.values.to_numpy(), times.values.to_numpy()
     rows = [(k[a:b], n[a:b] / n[a:b].sum(), lang) for a, b, lang in zip(ends[:-1], ends[1:], got.column("lang").to_pylist()) if b > a]
@@ -150,8 +151,9 @@ def fit(docs: DataFrame, most_training: int = MOST_TRAINING, reject: float = REJ
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document; ``keep`` names columns to carry along, as _keep_0, _keep_1, ...."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("_text"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    shared, kept = docs.sparkSession.sparkContext.broadcast(model), Carried(docs, list(keep))
+    rows = docs.select(F.col("doc_id").cast("long"), (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("_text"), *kept.columns())
+    names = ["doc_id", "held_out", "lang_pred", "score", "rejected", *kept.names]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -171,10 +173,10 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> Data
                 lang, floor = [m.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)], m.floor
             score = np.where(letters, np.clip(score, 0, 1), 0.0)
             rejected = ~letters | (score < floor) | (m is None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "rejected", *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), *kept.arrays(texts, batch.columns[3:])], names=names)
 
-    kept = "".join(f", _keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean" + kept)
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, rejected boolean").fields, *kept.fields])
+    return map_arrow(rows, predict, schema)
 
 
 def drop_rejected(docs: DataFrame, model: Model | None) -> DataFrame:

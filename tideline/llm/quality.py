@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, SOLID, Scratch, find_words, hash_spans, remainder, slices, text_bytes
+from .common import _LOWER, SOLID, Scratch, find_words, hash_spans, map_arrow, remainder, slices, text_bytes
 
 MOST_TRAINING = 20_000
 TREES, DEPTH, BINS, RATE, L2, LEAST_WEIGHT = 60, 4, 64, 0.15, 1.0, 5.0
@@ -149,7 +149,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_training
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
 
-    measured = scratch.keep(rows.mapInArrow(measure, "doc_id long, x array<float>"), "statistics")
+    measured = scratch.keep(map_arrow(rows, measure, "doc_id long, x array<float>"), "statistics")
     held_out = remainder("doc_id", 3) == 1
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out)
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -164,4 +164,4 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, most_training
             s = forest.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return measured.withColumn("held_out", held_out).select("doc_id", "held_out", "x").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(measured.withColumn("held_out", held_out).select("doc_id", "held_out", "x"), score, "doc_id long, held_out boolean, score double, predicted int")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, running_sums
+from .common import Scratch, map_arrow, mix, running_sums
 
 ROUNDS = 6
 
@@ -56,4 +56,4 @@ def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 8, seed: int = 0
             p = permute(batch.column("row_number").to_numpy(), n, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], names=[*batch.schema.names, "shard", "slot"])
 
-    return numbered.mapInArrow(place, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")
+    return map_arrow(numbered, place, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")

@@ -10,14 +10,15 @@ of ids before the document in its file's part; adding the parts before gives its
 in the whole stream.
 
 Ids are those of the tokenizers library.  Its pre-tokenizer splits a text into pieces
-that are encoded one by one, so each worker finds the pieces with numpy, encodes every
-distinct piece once with the library's model, and gathers ids by piece; a text that
-holds an added token's string goes through the library as a whole.  Pieces are told
-apart by a 64-bit hash.
+that are encoded one by one, so each task finds the pieces with numpy, encodes distinct
+pieces once with the library's model (as long as it remembers them, which is bounded),
+and gathers ids by piece; a text that holds an added token's string goes through the
+library as a whole.  Pieces are told apart by a 64-bit hash.
 
 Null and empty texts give just the end id.  A null ``doc_id`` comes first, and rows that
-tie in ``doc_id`` are ordered by text.  An empty table gives an empty table.  Further
-columns are ignored.
+tie in ``doc_id`` are ordered by the beginnings of their texts, then by a hash.  Ranges
+may cut such ties, even rows that repeat as a whole, so that none is bound to one task.
+An empty table gives an empty table.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, Scratch, _powers, mix, ragged, slices, text_bytes
+from .common import _ODD, Scratch, _powers, map_arrow, mix, ragged, slices, text_bytes
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 WRITER = {
@@ -44,7 +45,7 @@ WRITER = {
     "compression": "zstd",
 }
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, tokens array<int>"
-MOST_PIECES = 1_200_000  # distinct pieces that a worker remembers
+MOST_PIECES, MOST_IDS = 1 << 18, 1 << 21  # distinct pieces that a task remembers, and about their ids: some 16 MB
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 _CLASSES: list[np.ndarray] = []
@@ -120,22 +121,28 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths, self.at, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for h, piece in zip(hashes, pieces):
-            mapped = "".join(map(self.alphabet.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            i, n = len(self.known), len(ids)
-            if i >= len(self.lengths):
-                self.lengths, self.at = np.resize(self.lengths, 2 * i), np.resize(self.at, 2 * i)
-            while self.used + n > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + n] = ids
-            self.lengths[i], self.at[i] = n, self.used
-            self.known[h] = i
-            self.used += n
+        self.hashes, self.lengths, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, place: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Puts new pieces before the places given in the ascending hashes."""
+        lengths = np.zeros(len(pieces), np.int32)
+        at = np.zeros(len(pieces), np.int32)
+        for i, piece in enumerate(pieces):
+            ids = [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))]
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            lengths[i], at[i] = len(ids), self.used
+            self.used += len(ids)
+        self.hashes, self.lengths, self.at = np.insert(self.hashes, place, hashes), np.insert(self.lengths, place, lengths), np.insert(self.at, place, at)
+
+    def _look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        return place, ~known
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -156,33 +163,25 @@ class Encoder:
         np.cumsum(mix(points.astype(np.uint64) + np.uint64(_ODD)) * up[: len(points)], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > max(MOST_PIECES, 2 * len(distinct)):
+        place, new = self._look_up(distinct)
+        if len(self.hashes) + int(new.sum()) > MOST_PIECES or self.used > MOST_IDS:
             self.forget()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        s, e = starts[example[new]], ends[example[new]]
-        self._learn([keys[i] for i in new], [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(s.tolist(), e.tolist())])
-        index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        lengths = self.lengths[index]
+            place, new = self._look_up(distinct)
+        if new.any():
+            s, e = starts[example[new]], ends[example[new]]
+            self._learn(place[new], distinct[new], [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(s.tolist(), e.tolist())])
+        index = np.searchsorted(self.hashes, distinct)[inverse]
+        lengths = self.lengths[index].astype(np.int64)
         ids = self.ids[ragged(self.at[index], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[np.searchsorted(starts, firsts)])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, name: str = "tokens") -> DataFrame:
     """Encodes ``docs`` (doc_id, text), writes the files under ``scratch`` and returns them as read back."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
             ids, counts = coder.encode(batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts + 1)])
@@ -196,9 +195,11 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int
             )
             before += int(offsets[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.keep(ordered.mapInArrow(encode, SCHEMA), name, **WRITER)
+    text = F.col("text").cast("string")
+    order = ["doc_id", "head", "hash", "row"]
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.left(text, F.lit(64)).alias("head"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    return scratch.keep(map_arrow(ordered, encode, SCHEMA), name, **WRITER)
 
 
 def stream_starts(tokens: DataFrame) -> DataFrame:
@@ -236,4 +237,4 @@ def crc_of_ids(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(tokens.select("doc_id", "start", "n_tokens", "tokens"), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
