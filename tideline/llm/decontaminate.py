@@ -3,10 +3,14 @@
 Each text keeps, of every ``WINDOW`` consecutive hashes of ``K`` words, the least ones.
 Two texts that share ``WINDOW + K - 1 = SPAN`` consecutive words therefore keep a common
 fingerprint at the same place of the shared passage, so looking up the fingerprints of
-documents among those of the benchmark misses no such passage.  Each match gives a
-diagonal (place in the document less place in the item), and along the diagonal the
-words are compared one by one; runs of ``SPAN`` equal words and more are hits.  Items of
-fewer than ``SPAN`` words are looked up by the hash of all their words.
+documents among those of the benchmark misses no such passage.  A match is extended to
+the ``WINDOW`` windows of ``SPAN`` words around it; those that some item has are hits,
+and windows that follow one another make up longer passages.  Items of fewer than
+``SPAN`` words are looked up by the hash of all their words.
+
+A window is looked up once however often it stands in a text or an item, so work and
+memory follow the number of words, also in texts that repeat a few words over and over;
+(document, item) pairs are gathered in blocks of ``BLOCK_PAIRS``.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words, of
 which each is broadcast, and the documents pass all blocks without a shuffle.
@@ -26,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ALNUM, column, ragged, shingles, slices, word_hashes
+from .common import ALNUM, BATCH_BYTES, SLICE_BYTES, Carried, map_arrow, ragged, shingles, slices, word_hashes
 
 K, WINDOW, SPAN = 5, 6, 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS, BLOCK_PAIRS = 2_000_000, 1_000_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -53,70 +58,66 @@ def winnow(grams: np.ndarray, firsts: np.ndarray, n_words: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of a block of items."""
+    """Fingerprints of a block of items, and the items of each of their windows."""
 
     def __init__(self, ids: list[str], texts: list[str | None]):
         self.ids = ids
-        self.words, self.firsts = word_hashes(pa.array(texts, pa.string()), ALNUM)
-        sizes = np.diff(self.firsts)
-        grams = shingles(self.words, K)
-        places = winnow(grams, self.firsts, len(self.words))
-        order = np.argsort(grams[places], kind="stable")
-        self.places = places[order]
-        self.prints = grams[self.places]
-        self.item = np.repeat(np.arange(len(ids)), sizes)
-        self.short = {}
-        for n in range(1, SPAN):
-            if len(at := np.flatnonzero(sizes == n)):
-                h = shingles(self.words, n)[self.firsts[at]]
-                o = np.argsort(h, kind="stable")
-                self.short[n] = (h[o], at[o])
+        words, firsts = word_hashes(pa.array(texts, pa.string()), ALNUM)
+        sizes = np.diff(firsts)
+        grams = shingles(words, K)
+        self.prints = np.unique(grams[winnow(grams, firsts, len(words))])
+        self.by_length = {}  # windows of so many words: their hashes, where each one's items begin, the items
+        for n in range(1, SPAN + 1):
+            some = np.flatnonzero(sizes >= SPAN if n == SPAN else sizes == n)
+            if len(some):
+                count = sizes[some] - n + 1
+                h, item = shingles(words, n)[ragged(firsts[some], count)], np.repeat(some, count)
+                order = np.lexsort((item, h))
+                h, item = h[order], item[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+                h, item = h[new], item[new].astype(np.int32)
+                distinct, starts = np.unique(h, return_index=True)
+                self.by_length[n] = (distinct, np.append(starts, len(h)), item)
 
     def hits(self, words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of documents' words: which are hit; and pairs (document, item) as rows."""
         hit, pairs = np.zeros(len(words) + 1, np.int64), [np.zeros((0, 2), np.int64)]
-        if len(self.prints) and len(words) >= SPAN:
-            grams = shingles(words, K)
-            at = winnow(grams, firsts, len(words))
-            lo, hi = np.searchsorted(self.prints, grams[at]), np.searchsorted(self.prints, grams[at], side="right")
-            found = np.flatnonzero(hi > lo)
-            n = hi[found] - lo[found]
-            place = self.places[ragged(lo[found], n)]
-            at = np.repeat(at[found], n)
-            doc, item = np.searchsorted(firsts, at, side="right") - 1, self.item[place]
-            diagonals = np.unique(np.stack([doc, item, at - place + self.firsts[item]], 1), axis=0)
-            for part in range(0, len(diagonals), 10_000):
-                self._run(words, firsts, diagonals[part : part + 10_000], hit, pairs)
-        for n, (h, items) in self.short.items():
-            s = shingles(words, n)
-            lo, hi = np.searchsorted(h, s), np.searchsorted(h, s, side="right")
-            at = np.flatnonzero(hi > lo)
+        for n, (hashes, starts, items) in self.by_length.items():
+            own = shingles(words, n)
+            at = self._around_prints(words, firsts, len(own)) if n == SPAN else np.arange(len(own))
+            place = np.minimum(np.searchsorted(hashes, own[at]), len(hashes) - 1)
+            found = hashes[place] == own[at]
+            at, place = at[found], place[found]
             doc = np.searchsorted(firsts, at, side="right") - 1
-            at, doc = at[inside := at + n <= firsts[doc + 1]], doc[inside]
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + n, -1)
-            m = hi[at] - lo[at]
-            pairs.append(np.stack([np.repeat(doc, m), items[ragged(lo[at], m)]], 1))
+            inside = at + n <= firsts[doc + 1]
+            at, place, doc = at[inside], place[inside], doc[inside]
+            hit[at] += 1  # no place comes twice
+            hit[at + n] -= 1
+            once = np.unique(doc * len(hashes) + place)
+            doc, place = once // len(hashes), once % len(hashes)
+            count = starts[place + 1] - starts[place]
+            total, lo = np.cumsum(count), 0
+            while lo < len(doc):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK_PAIRS, side="right")))
+                block = np.repeat(doc[lo:hi], count[lo:hi]) * len(self.ids) + items[ragged(starts[place[lo:hi]], count[lo:hi])]
+                block = np.unique(block)
+                pairs.append(np.stack([block // len(self.ids), block % len(self.ids)], 1))
+                lo = hi
         return np.cumsum(hit)[:-1] > 0, np.unique(np.concatenate(pairs), axis=0)
 
-    def _run(self, words: np.ndarray, firsts: np.ndarray, diagonals: np.ndarray, hit: np.ndarray, pairs: list) -> None:
-        doc, item, shift = diagonals.T
-        begin = np.maximum(shift, firsts[doc])
-        end = np.minimum(shift + self.firsts[item + 1] - self.firsts[item], firsts[doc + 1])
-        n = end - begin
-        in_doc, in_item = ragged(begin, n), ragged(begin - shift + self.firsts[item], n)
-        same = np.concatenate([[False], words[in_doc] == self.words[in_item], [False]])
-        edges = np.cumsum(n)[:-1]  # runs end with their diagonal
-        step = same[1:].astype(np.int8) - same[:-1]
-        starts, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        cut = edges[same[edges] & same[edges + 1]]
-        starts, stops = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([stops, cut]))
-        long = stops - starts >= SPAN
-        starts, stops = starts[long], stops[long]
-        np.add.at(hit, in_doc[starts], 1)
-        np.add.at(hit, in_doc[stops - 1] + 1, -1)
-        which = np.searchsorted(np.cumsum(n), starts, side="right")
-        pairs.append(np.stack([doc[which], item[which]], 1))
+    def _around_prints(self, words: np.ndarray, firsts: np.ndarray, n_windows: int) -> np.ndarray:
+        """Where windows begin that hold a fingerprint of the benchmark."""
+        wanted = np.zeros(n_windows, bool)
+        if n_windows and len(self.prints):
+            grams = shingles(words, K)
+            at = winnow(grams, firsts, len(words))
+            place = np.minimum(np.searchsorted(self.prints, grams[at]), len(self.prints) - 1)
+            at = at[self.prints[place] == grams[at]]
+            for back in range(WINDOW):
+                start = at - back
+                wanted[start[(start >= 0) & (start < n_windows)]] = True
+        return np.flatnonzero(wanted)
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
@@ -134,12 +135,14 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document with its hits; ``keep`` names columns of ``docs`` to carry along, as _keep_0, _keep_1, ...."""
-    context = docs.sparkSession.sparkContext
+    context, kept = docs.sparkSession.sparkContext, Carried(docs, list(keep))
     blocks = [context.broadcast(b) for b in _blocks(benchmark, block_words)]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *kept.columns())
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *kept.names]
+    most = SLICE_BYTES if len(blocks) == 1 else BATCH_BYTES  # fewer passes over several blocks
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", most):
             words, firsts = word_hashes(batch.column("_text"), ALNUM)
             hit, items = np.zeros(len(words), bool), [set() for _ in range(batch.num_rows)]
             for block in blocks:
@@ -152,16 +155,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] = (), b
                     vars(block).pop("_value", None)  # one block at a time in memory
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = np.diff(total[firsts])
+            sha = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in items]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(n_hit), pa.array([len(s) for s in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in items]), pa.array(n_hit > 0), *batch.columns[2:],
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]],
-            )
-
-    kept = "".join(f", _keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return rows.mapInArrow(mark, SCHEMA + kept)
+                [batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(n_hit), pa.array([len(s) for s in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0), *kept.arrays(batch.column("_text"), batch.columns[2:])], names=names
+            )
+
+    return map_arrow(rows, mark, T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *kept.fields]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
