@@ -4,7 +4,7 @@ A source's documents, in a shuffled order, form one stream of words that is cut
 blocks of ``block`` words, or of 1/``LEAST_SLOTS`` of its target where that is less.  A
 source has as many slots as its blocks need to give its target; the last slot is cut to
 what is left, so a source takes its target, rounded up to words, whatever its size.  Slot
-i has the golden-ratio point frac((i + 1/2) * phi); the points' ranks map through the
+i has the golden-ratio point frac((i + 1/2) * phi), in 64-bit integers; the points' ranks map through the
 sources' cumulative numbers of slots, so every stretch of slots comes near the targets.
 The r-th slot of a source takes block r modulo its blocks: a source that is asked for more
 than it has repeats in whole passes.  Joining slots and documents by source and block
@@ -34,34 +34,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SOLID, Scratch, column, find_words, running_sums, slices, text_bytes
+from .common import SOLID, Scratch, column, find_words, map_arrow, running_sums, slices, text_bytes
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-GOLDEN = 0.6180339887498949
+GOLDEN = 0x9E3779B97F4A7C15  # the golden ratio's fraction of 2^64
 SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 16, 1, 1_024  # blocks hold words / SLOTS words, within these
 LEAST_SLOTS = 8  # of a source with as many words to take
 
 
+def document_key(docs: DataFrame):
+    return F.xxhash64(docs["doc_id"].cast("string"), docs["text"].cast("string"))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and a key that shuffles: a hash of doc_id and text."""
+    """doc_id (null if not an integer), source, size, and a key that shuffles: a hash of doc_id, of whatever type, and text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(find_words(data, offsets, SOLID)[2]))], names=["doc_id", "source", "key", "size"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), F.col("text").cast("string"))
-    return rows.mapInArrow(count, "doc_id long, source string, key long, size long")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("source").cast("string"), document_key(docs).alias("key"), F.col("text").cast("string"))
+    return map_arrow(rows, count, "doc_id long, source string, key long, size long")
 
 
 def targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> DataFrame:
-    """source, source_size, place (in order of sources), target, and before (the targets of sources before, in words)."""
+    """source, source_size, place (in order of sources), start (words of the sources before), target, and words (the target in whole words)."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_source = by_source.withColumns({"null_last": F.col("source").isNull().cast("int"), "one": F.lit(1).cast("long")})
-    placed = running_sums(by_source, ["null_last", "source"], {"place": "one"}, scratch, "sources")
+    placed = running_sums(by_source, ["null_last", "source"], {"place": "one", "start": "source_size"}, scratch, "sources")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
-    rated = placed.select("source", "source_size", "null_last", "place", weight.alias("weight"))
+    rated = placed.select("source", "source_size", "place", "start", weight.alias("weight"))
     total = rated.agg(F.sum("source_size")).first()[0] or 0
     cap, rate = F.col("source_size") * MOST_PASSES, 0.0
     while True:  # words for each unit of weight; each turn stops further sources or ends
@@ -72,7 +76,7 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> Dat
             break
         rate = new
     target = F.least(cap.cast("double"), F.col("weight") * rate)
-    return rated.select("source", "source_size", "null_last", "place", target.alias("target"), F.ceil(target).cast("long").alias("words"))
+    return rated.select("source", "source_size", "place", "start", target.alias("target"), F.ceil(target).cast("long").alias("words"))
 
 
 def block_words(total: int) -> int:
@@ -94,27 +98,35 @@ def slot_plan(shares: DataFrame, block: int) -> DataFrame:
     return planned.withColumns({"slots": F.when(size > 0, F.floor(words / size) * F.col("blocks") + cut).otherwise(0).cast("long"), "end": end.cast("long")})
 
 
-def schedule(shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """slot, point and place: which source (by place) each slot takes; shares: place, and slots or else words."""
-    spark = shares.sparkSession
-    slots = F.col("slots") if "slots" in shares.columns else F.ceil(F.col("words") / block).cast("long")
-    edges = running_sums(shares.select("place", slots.alias("slots")), ["place"], {"before": "slots"}, scratch, "edges").filter("slots > 0")
+def slot_edges(shares: DataFrame, scratch: Scratch) -> DataFrame:
+    """The shares that have slots, with ``first`` (slots of those before) and ``passed`` (how many come before)."""
+    some = shares.withColumn("has", (F.col("slots") > 0).cast("long"))
+    edges = running_sums(some, ["place"], {"first": "slots", "passed": "has"}, scratch, "edges").drop("has")
+    return scratch.keep(edges.filter("slots > 0"), "slot-edges")
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = batch.column("id").to_numpy()
+        at = slot.astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(GOLDEN // 2)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((at ^ np.uint64(1 << 63)).view(np.int64)), pa.array(np.ones(len(slot), np.int64))], names=["slot", "at", "one"])
+
+
+def schedule(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """slot, at (its point, of 64 bits) and place: which source each slot takes."""
     total = edges.agg(F.sum("slots")).first()[0] or 0
-    points = spark.range(total).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0)).alias("at"), F.lit(1).cast("long").alias("one"))
+    points = map_arrow(edges.sparkSession.range(total), _points, "slot long, at long, one long")
     points = running_sums(points, ["at", "slot"], {"number": "one"}, scratch, "point-ranks").select("slot", "at", "number", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("step"))
-    marks = edges.select(F.lit(None).cast("long").alias("slot"), F.lit(None).cast("double").alias("at"), F.col("before").alias("number"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step"))
+    marks = edges.select(F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("at"), F.col("first").alias("number"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step"))
     ranked = running_sums(points.unionByName(marks), ["number", "kind"], {"passed": "step"}, scratch, "points")
-    # a rank's source is the last mark passed; marks are numbered among sources with slots
-    numbered = running_sums(edges.select("place", F.lit(1).cast("long").alias("one")), ["place"], {"passed": "one"}, scratch, "numbers")
-    return ranked.filter("kind = 1").select("slot", "at", (F.col("passed") - 1).alias("passed")).join(numbered.select("place", "passed"), "passed").select("slot", "at", "place")
+    # a rank's source is the last mark passed
+    return ranked.filter("kind = 1").select("slot", "at", (F.col("passed") - 1).alias("passed")).join(edges.select("place", "passed"), "passed").select("slot", "at", "place")
 
 
-def ranked(slots: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
+def ranked(slots: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """slot, place, rank (the slot's number among its source's), the block that it takes, and where in the stream it stops at most."""
     ordered = running_sums(slots.select("place", "slot", F.lit(1).cast("long").alias("one")), ["place", "slot"], {"number": "one"}, scratch, "ranks")
-    starts = running_sums(plan.select("place", "own", "blocks", "slots", "end"), ["place"], {"first": "slots"}, scratch, "rank-starts")
-    known = scratch.keep(starts.filter("slots > 0"), "rank-plan")
-    rows = ordered.join(known, "place").withColumn("rank", F.col("number") - F.col("first"))
+    rows = ordered.join(edges.select("place", "own", "blocks", "slots", "end", "first"), "place").withColumn("rank", F.col("number") - F.col("first"))
     block = F.col("rank") % F.col("blocks")
     words = F.when(F.col("rank") == F.col("slots") - 1, F.col("end")).otherwise(F.col("own"))
     return rows.select("slot", "place", "rank", block.alias("block"), (block * F.col("own") + words).alias("stop"))
@@ -125,8 +137,7 @@ def place_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS)
     counted = count_words(docs).withColumn("null_last", F.col("source").isNull().cast("int"))
     sizes = running_sums(counted, ["null_last", "source", "key", "doc_id"], {"total_before": "size"}, scratch, "sizes")
     shares = scratch.keep(targets(sizes, scratch, weights), "shares")
-    starts = running_sums(shares.select("null_last", "source", "source_size", "place", "target"), ["null_last", "source"], {"start": "source_size"}, scratch, "starts")
-    starts = scratch.keep(starts.select(F.col("source").alias("s"), "source_size", "place", "target", "start"), "source-starts")
+    starts = shares.select(F.col("source").alias("s"), "source_size", "place", "target", "start")
     rows = sizes.join(starts, F.col("source").eqNullSafe(F.col("s")))
     placed = rows.select("doc_id", "key", "source", "size", "source_size", "target", "place", (F.col("total_before") - F.col("start")).alias("at"))
     return scratch.keep(placed, "placed"), shares
@@ -134,8 +145,8 @@ def place_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS)
 
 def mix_pieces(placed: DataFrame, shares: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """The mix: slot, place, at (which document of the source), first and last word (exclusive) of the piece within it."""
-    plan = scratch.keep(slot_plan(shares, block), "plan")
-    slots = scratch.keep(ranked(scratch.keep(schedule(plan, scratch, block), "slots"), plan, scratch), "ranked")
+    edges = slot_edges(slot_plan(shares, block), scratch)
+    slots = scratch.keep(ranked(scratch.keep(schedule(edges, scratch), "slots"), edges, scratch), "ranked")
     end, own = F.col("at") + F.col("size"), F.col("own")
     sized = placed.filter("size > 0").withColumn("own", own_block(F.ceil("target").cast("long"), block))
     spread = sized.select("place", "at", "size", "own", F.explode(F.sequence(F.floor(F.col("at") / own), F.floor((end - 1) / own))).alias("block"))
@@ -158,8 +169,9 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, block: int
 
 def mix_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> DataFrame:
     """The documents of the mix, whole: each as often as the block of its first word is taken."""
-    counts = scratch.keep(mix(docs, scratch, weights).filter("passes > 0").groupBy("doc_id", "key").agg(F.max("passes").alias("n")), "passes")
-    counts = counts.select(F.col("doc_id").alias("__mix_id"), F.col("key").alias("__mix_key"), F.col("n").alias("__mix_n"))
-    same = docs["doc_id"].cast("long").eqNullSafe(counts["__mix_id"]) & (F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])) == counts["__mix_key"])
+    counts = mix(docs, scratch, weights).filter("passes > 0").groupBy(F.col("key").alias("__mix_key")).agg(F.max("passes").alias("__mix_n"))
+    counts = scratch.keep(counts, "passes")
+    scratch.drop_all_but("passes")
+    same = document_key(docs) == F.col("__mix_key")
     turns = docs.join(counts, same).withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     return turns.select(*[column(c) for c in docs.columns])
