@@ -160,7 +160,7 @@ def test_decontamination_matches_brute_force(spark, hard):
 
 
 def test_base_scores_and_model(spark, hard, monkeypatch):
-    monkeypatch.setattr(brown, "HEAD", 5)  # so that nearly all words go the way of rare ones
+    monkeypatch.setattr(brown, "HEAD", 5)  # so that nearly all words go the way of those beyond the head
     got = brown.score(hard, Scratch(spark, "t")).collect()
     rows = hard.collect()
     held = lambda r: zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 == 2
@@ -173,24 +173,116 @@ def test_base_scores_and_model(spark, hard, monkeypatch):
 
 def test_class_model_sums_to_one():
     r = np.random.default_rng(0)
-    units = brown.UNITS
-    bigrams = np.zeros((units, units))
-    bigrams[r.integers(0, units, 4000), r.integers(0, units, 4000)] += r.integers(1, 9, 4000)
-    tokens_, words_ = r.integers(0, 50, brown.ENDINGS).astype(float), r.integers(0, 9, brown.ENDINGS).astype(float)
-    m = brown.Model(bigrams, tokens_, words_, 1000, 100, 10)
-    assert np.allclose((10**m.step).sum(1), 1)
-    emit = 10**m.emit
-    emit[brown.TOP : brown.END] *= tokens_ + words_ + 1  # all words of an ending, one unknown among them
-    assert np.allclose(np.bincount(m.cls, weights=emit, minlength=brown.CLASSES), 1)
-
-
-def test_exchange_finds_classes():
+    counts = r.integers(1, 9, 300)
+    of = r.integers(0, brown.END - 1, 300)  # one class stays empty
+    tokens_ = np.append(np.bincount(of, counts, brown.END), 40.0)
+    table = r.random((brown.SIDES, brown.CLASSES))
+    table *= tokens_ / table.sum(0)
+    m = brown.Model(table, tokens_, np.bincount(of, minlength=brown.CLASSES), np.bincount(of[counts == 1], minlength=brown.CLASSES))
+    words_ = np.bincount(of, (counts + 1) / 10 ** m.norm[of], brown.CLASSES)
+    words_[m.unseen] += 1 / 10 ** m.norm[m.unseen]
+    words_[brown.END] = 41 / 10 ** m.norm[brown.END]
+    assert np.allclose((10**m.step) @ words_, 1)
+
+
+def likelihood(cls, u, v, c, classes):
+    table = np.zeros((classes + 1, classes + 1))
+    np.add.at(table, (cls[u], cls[v]), c)
+    x = lambda t: (t * np.log(np.maximum(t, 1))).sum()
+    return x(table) - x(table.sum(0)) - x(table.sum(1))
+
+
+def test_exchange_ends_where_no_move_helps():
     r = np.random.default_rng(1)
-    group = r.integers(0, 2, 41)
-    bigrams = np.where(group[:, None] != group[None, :], 20.0, 0.0) * (r.random((41, 41)) < 0.9)
-    cls = brown.cluster(bigrams, classes=3, passes=10)
-    inner = cls[:-1]
-    assert all(len(set(inner[group[:-1] == g])) == 1 for g in (0, 1)) and cls[-1] == 2 and 2 not in inner
+    group = r.integers(0, 2, 40)
+    strong = np.where(group[:, None] != group[None, :], 20, 0) * (r.random((40, 40)) < 0.9)
+    pairs = np.zeros((42, 42), np.int64)
+    pairs[:40, :40] = strong
+    cls, _ = brown.cluster(*np.nonzero(pairs), pairs[np.nonzero(pairs)], 40, classes=6)
+    assert all(len(set(group[cls[:40] == k])) <= 1 for k in range(5)) and cls[40] == 6 and cls[41] == 5 and max(cls[:40]) < 5
+    pairs = r.poisson(2, (14, 14)) * (r.random((14, 14)) < 0.6)
+    u, v = np.nonzero(pairs)
+    cls, table = brown.cluster(u, v, pairs[u, v], 12, classes=5)
+    best = likelihood(cls, u, v, pairs[u, v], 5)
+    again = np.zeros((6, 6))
+    np.add.at(again, (cls[u], cls[v]), pairs[u, v])
+    assert np.array_equal(again, table)
+    for w in range(12):
+        for b in range(4):
+            other = cls.copy()
+            other[w] = b
+            assert likelihood(other, u, v, pairs[u, v], 5) <= best + 1e-5
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Classes of all further words and scores, from plain counts of the texts."""
+    monkeypatch.setattr(brown, "HEAD", 25)
+    monkeypatch.setattr(brown, "TOP", 8)
+    monkeypatch.setattr(brown, "MOST_HELD", 40)
+    monkeypatch.setattr(brown, "ROWS", 16)
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(90)]
+    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(90)], k=r.randint(0, 60))) for _ in range(120)] + ["never seen words here"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    split = [(i, t.split(), zlib.crc32(str(i).encode()) % 7 == 2) for i, t in enumerate(texts)]
+    n = Counter(w for _, t, held in split if not held for w in t)
+    docs_n = sum(not held for *_, held in split)
+    scratch = Scratch(spark, "t")
+    rows = docs.withColumn("held_out", brown.remainder("doc_id", 7) == 2)
+    counts = scratch.keep(brown.count_tokens(rows.filter("not held_out")), "counts")
+    head, least = brown.learn_head(counts)
+    encoded = scratch.keep(brown.encode(rows, spark.sparkContext.broadcast(head)), "encoded")
+    model, classes, far = brown.learn(encoded.filter("not held_out"), counts, head, least, scratch)
+    every = sorted({*n, "never", "seen", "words", "here"})
+    name = dict(zip(word_hashes(pa.array(every), SOLID)[0].tolist(), every))
+    number = {name[h]: int(i) for h, i in zip(head.h.tolist(), head.number)}
+    assert len(number) <= 25 < len(n) and min(n[w] for w in number) == least > max(n[w] for w in n if w not in number)
+    far_class = {name[x.word % 2**64]: x.cls for x in far.collect()}
+    assert {*number, *far_class} == {*n} and all(x.c == n[name[x.word % 2**64]] for x in far.collect())
+    cls = {w: int(classes[i]) for w, i in number.items()} | far_class
+    end, rare, sides = brown.END, brown.RARE, brown.SIDES
+
+    def fits(known):  # log(P(a, b) / (P(a) P(b))) of classes, smoothed
+        table = np.zeros((sides, sides))
+        for _, t, held in split:
+            c = [end, *(known.get(w, rare) for w in t), end]
+            for a, b in zip(c, c[1:]) if not held else ():
+                table[a, b] += 1
+        own = (table.sum(0) + 1) / (table.sum() + sides)
+        return np.log((table + 5 * own) / (table.sum(1, keepdims=True) + 5) / own), table
+
+    for some, known in (({w for w, i in number.items() if i >= 8}, {w: cls[w] for w, i in number.items() if i < 8}), (set(far_class), {w: cls[w] for w in number})):
+        fit, table = fits(known)
+        used = [b for b in range(end) if table[b].sum() + table[:, b].sum() > 0]
+        score = {w: np.zeros(sides) for w in some}
+        for _, t, held in split:
+            c = [end, *(known.get(w, rare) for w in t), end]
+            for i, w in enumerate(t) if not held else ():
+                if w in some:
+                    score[w] += fit[c[i]] + fit[:, c[i + 2]]
+        for w in some:
+            assert cls[w] in used and score[w][cls[w]] >= score[w][used].max() - 1e-9, w
+    # the model
+    after = Counter()
+    history = lambda w: cls[w] if w in number else rare
+    for _, t, held in split:
+        for a, b in zip([end, *map(history, t)], [*(cls.get(w) for w in t), end]) if not held else ():
+            after[a, b] += 1
+    tokens_, inside, once = Counter(cls[w] for w in n for _ in range(n[w])), Counter(cls[w] for w in n), Counter(cls[w] for w in n if n[w] == 1)
+    tokens_[end], unseen = docs_n, min(range(end), key=lambda b: (-once[b], b))
+    n_types = {b: inside[b] + (b == unseen) + (b == end) for b in range(end + 1)}
+    weight = {b: tokens_[b] + 1 if n_types[b] else 0 for b in n_types}
+    own = {b: x / sum(weight.values()) for b, x in weight.items()}
+    def p(a, b, count):
+        total = sum(after[a, x] for x in n_types)
+        return (after[a, b] + 5 * own[b]) / (total + 5) * (count + 1) / (tokens_[b] + n_types[b])
+    got = {x.doc_id: x.score for x in brown.score(docs, Scratch(spark, "t")).collect()}
+    for i, t, _ in split:
+        a, total = end, 0.0
+        for w in t:
+            total += math.log10(p(a, cls.get(w, unseen), n[w]))
+            a = history(w)
+        assert math.isclose(got[i], total + math.log10(p(a, end, docs_n)), abs_tol=1e-6), i
 
 
 def test_class_model_beats_words_alone(spark):
@@ -290,7 +382,8 @@ def test_query_derives_features_from_stored_tensors(spark, hard, monkeypatch):
 def test_resampling_and_segments(monkeypatch):
     t = np.arange(16_000) / 16_000
     y = audio.resample(np.sin(2 * np.pi * 440 * t).astype(np.float32))
-    assert np.abs(y[50:-50] - np.sin(2 * np.pi * 440 * t[::2])[50:-50]).max() < 0.01
+    assert audio.UP > 1 and len(y) == 16_000 * audio.UP // audio.DOWN
+    assert np.abs(y[50:-50] - np.sin(2 * np.pi * 440 * np.arange(len(y)) * audio.DOWN / audio.UP / 16_000)[50:-50]).max() < 0.01
     assert np.abs(audio.resample(np.sin(2 * np.pi * 7000 * t).astype(np.float32))[50:-50]).max() < 0.05
     x = (128 + 100 * np.sin(np.arange(300_000) / 9)).astype(np.uint8).tobytes()
     whole = audio.log_mel(memoryview(x), 16_000)[0]
@@ -302,6 +395,51 @@ def test_resampling_and_segments(monkeypatch):
         audio.from_wave(b"RIFF????AIFF")
 
 
+@pytest.mark.parametrize("ratio", [(2, 5), (3, 4), (1, 2), (3, 2)])
+def test_resampling_matches_plain_filtering(monkeypatch, ratio):
+    """Zeros between the samples, one whole filter, every DOWN-th sample."""
+    up, down = ratio
+    monkeypatch.setattr(audio, "UP", up)
+    monkeypatch.setattr(audio, "DOWN", down)
+    monkeypatch.setattr(audio, "_BANK", audio._phases())
+    r = np.random.default_rng(4)
+    taps = audio.TAPS * max(up, down) - 1
+    k = np.arange(taps) - taps // 2
+    h = np.sinc(k / max(up, down)) * (0.54 + 0.46 * np.cos(2 * np.pi * k / (taps - 1)))
+    h *= up / h.sum()
+    for n in (1, 2, 63, 64, 640, 50_000):
+        x = r.normal(size=n).astype(np.float32)
+        full = np.zeros(n * up)
+        full[::up] = x
+        y = np.convolve(full, h)[taps // 2 :][: n * up : down]
+        got = audio.resample(x)
+        assert len(got) == len(y) and np.abs(got - y).max() < 1e-4, n
+
+
+def test_log_mel_matches_plain_sums():
+    r = np.random.default_rng(6)
+    raw = r.integers(0, 256, 3_000).astype(np.uint8)
+    mels, energy, rate = audio.log_mel(memoryview(raw.tobytes()), 16_000)
+    y = audio.resample(raw.astype(np.float32) / 128 - 1)
+    low = audio.UP * 16_000 / audio.DOWN
+    points = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * math.log10(1 + low / 2 / 700), audio.MELS + 2)]
+    assert rate == low / audio.HOP and len(mels) == 1 + -(-(len(y) - audio.FRAME) // audio.HOP)
+    for i in (0, 3, len(mels) - 1):
+        frame = np.zeros(audio.FRAME)
+        part = y[i * audio.HOP :][: audio.FRAME]
+        frame[: len(part)] = part
+        assert abs(energy[i] - 10 * math.log10((frame**2).mean() + 1e-8)) < 1e-3
+        turned = frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1)))
+        for m in (0, 7, audio.MELS - 1):
+            total = 0.0
+            for b in range(audio.FFT // 2 + 1):
+                f = b * low / audio.FFT
+                weight = max(0.0, min((f - points[m]) / (points[m + 1] - points[m]), (points[m + 2] - f) / (points[m + 2] - points[m + 1])))
+                if weight:
+                    total += weight * abs((turned * np.exp(-2j * np.pi * b * np.arange(audio.FRAME) / audio.FFT)).sum()) ** 2
+            assert abs(mels[i, m] - math.log(total + 1e-6)) < 1e-2
+
+
 # ------------------------------------------------------------------ 7 mixing
 
 
@@ -341,8 +479,8 @@ def test_mix(spark, seed):
 
 
 def test_schedule_stays_near_the_targets(spark):
-    shares = spark.createDataFrame([(0, 500), (1, 0), (2, 300), (3, 200)], "place long, words long")
-    got = sorted(mixing.schedule(shares, Scratch(spark, "t"), 1).collect())
+    shares = spark.createDataFrame([(0, 500), (1, 0), (2, 300), (3, 200)], "place long, slots long")
+    got = sorted(mixing.schedule(mixing.slot_edges(shares, Scratch(spark, "t")), Scratch(spark, "t")).collect())
     assert [r.slot for r in got] == list(range(1000))
     for n in (50, 200, 1000):
         c = Counter(r.place for r in got[:n])
@@ -381,6 +519,24 @@ def test_small_sources_take_their_targets(spark, monkeypatch):
     assert all(whole[i] == 3 for i in range(11))
 
 
+def test_points_keep_their_low_bits():
+    slots = pa.record_batch([pa.array([0, 1, 10**10, 10**10 + 1])], ["id"])
+    at = next(mixing._points(iter([slots]))).column("at").to_pylist()
+    assert [a + 2**63 for a in at] == [(i * mixing.GOLDEN + mixing.GOLDEN // 2) % 2**64 for i in (0, 1, 10**10, 10**10 + 1)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_whole_documents_of_any_id_come_near_the_targets(spark, kind):
+    docs = [(i, "w " * (1 + i % 40), "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    df = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id") if kind == "string" else F.col("doc_id").cast(kind))
+    whole = mixing.mix_documents(df, Scratch(spark, "t")).collect()
+    size = sum(len(solid(t)) for _, t, _ in docs)
+    for s, w in zip("abc", (5, 2, 1)):
+        taken = sum(len(solid(r.text)) for r in whole if r.source == s)
+        assert abs(taken - size * w / 8) < 0.05 * size * w / 8 + 40, s
+
+
 def test_mix_of_hard_rows(spark, hard):
     got = mixing.mix(hard, Scratch(spark, "t")).collect()
     assert sorted(r.size for r in got) == sorted(len(solid(r.text)) for r in hard.collect())
@@ -473,6 +629,32 @@ def test_classes_match_brute_force(spark, weights):
     assert [got[i] for i, _ in rows] == brute_classes(rows, weights == "count")
 
 
+def test_recall_over_the_documents(spark):
+    """Ids divisible by 100 against all rows: pairs of similarity 0.8 that lie in one class, by exact counts."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.class_id for r in queries.op10_near_duplicates(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    bags = {}
+    for r in rows:
+        w = words(r.text)
+        bags[r.doc_id] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    holders = {}
+    for i, bag in bags.items():
+        for g in bag:
+            holders.setdefault(g, []).append(i)
+    close = together = 0
+    for i in bags:
+        if i % 100 == 0:
+            both = Counter()
+            for g, n in bags[i].items():
+                for j in holders[g]:
+                    both[j] += min(n, bags[j][g])
+            for j, n in both.items():
+                if j != i and n >= 0.8 * (bags[i].total() + bags[j].total() - n):
+                    close, together = close + 1, together + (got[i] == got[j])
+    assert close and together >= 0.9 * close
+
+
 def test_one_of_each_class_stays(spark, hard):
     kept = neardup.keep_one(hard, Scratch(spark, "t"))
     rows = kept.select("doc_id", "text").collect()
@@ -502,7 +684,7 @@ def test_pipeline(spark):
     named = corpus_pipeline.language(spark, docs, SF)
     kept = corpus_pipeline.near_duplicates(spark, named, SF)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes(rows)) & {r.doc_id for r in named.collect()})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes(rows, counted=True)) & {r.doc_id for r in named.collect()})
     clean = corpus_pipeline.decontamination(spark, kept, SF)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("cast(item_id as string) item_id", "text").collect()]
     texts = dict(rows)

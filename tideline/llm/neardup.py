@@ -1,7 +1,7 @@
 """Near-duplicate documents by DartMinHash signatures, banded joins and exact checks.
 
-A document is the set of its shingles of ``WORDS`` words (all its words, if it has
-fewer); with ``weights="count"`` a shingle weighs as often as it occurs.  Darts: each
+A document is its shingles of ``WORDS`` words (all its words, if it has fewer), each with
+its number of occurrences as its weight; with ``weights="set"`` each weighs 1.  Darts: each
 element owns a plane of weight by rank, in which points are thrown by hashing: a cell of
 the plane holds a Poisson number of darts, drawn from the cell's hash, each with a weight,
 a rank and one of ``K`` coordinates.  A document owns the darts of its elements that lie
@@ -32,11 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Scratch, mix, shingles, signed, slices, word_hashes
+from .common import ALNUM, HashFilter, Scratch, column, map_arrow, mix, shingles, signed, slices, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -44,7 +45,7 @@ K = BANDS * ROWS
 LAYER = 2.0**-4  # rank that the first layer spans
 BLOCK_ELEMENTS, BLOCK_ROWS = 1_000_000, 1_500  # about what a block of members holds at most
 COLUMNS = 4_096  # elements that one product of matrices takes
-FILTER_BITS = 1 << 24  # of the filter that tells which texts must be read again
+SKETCH_BYTES = 1 << 20
 
 _ODDS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(K)], np.uint64)
 
@@ -70,6 +71,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, doc: np.nd
         layers = np.ceil(weights).astype(np.int64)
         m = np.arange(int(layers.sum())) - np.repeat(np.cumsum(layers) - layers, layers)
         part = np.minimum(np.repeat(weights, layers) - m, 1.0)
+        part = None if (part == 1).all() else part
         elements, doc = mix(np.repeat(elements, layers) + m.astype(np.uint64) * _ODDS[1]), np.repeat(doc, layers)
     else:
         part = None
@@ -115,8 +117,8 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, doc: np.nd
     return best
 
 
-def elements(words: np.ndarray, firsts: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of all texts and the text of each; ``counted`` gives repeats an own element each."""
+def weighted(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts, how often each occurs in its text, and the text."""
     n = np.diff(firsts)
     s = np.zeros(len(words), np.uint64)
     s[: max(0, len(words) - WORDS + 1)] = shingles(words, WORDS)
@@ -132,10 +134,17 @@ def elements(words: np.ndarray, firsts: np.ndarray, counted: bool = False) -> tu
     s, doc = s[order], doc[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
-    if not counted:
-        return s[new], doc[new]
     at = np.flatnonzero(new)
-    repeat = np.arange(len(s)) - np.repeat(at, np.diff(np.append(at, len(s))))
+    return s[at], np.diff(np.append(at, len(s))), doc[at]
+
+
+def elements(words: np.ndarray, firsts: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What two texts are compared by, and the text of each: distinct shingles; ``counted`` gives repeats an element each."""
+    s, count, doc = weighted(words, firsts)
+    if not counted:
+        return s, doc
+    repeat = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    s, doc = np.repeat(s, count), np.repeat(doc, count)
     return np.where(repeat > 0, mix(s + repeat.astype(np.uint64) * _ODDS[5]), s), doc
 
 
@@ -155,39 +164,36 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=np.uint64) * _ODDS[7])
 
 
-def sketch(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """doc_id, text_hash, node, bands and the number of elements; node is null for texts without words."""
+def sketch(docs: DataFrame, counted: bool) -> DataFrame:
+    """doc_id, text_hash, node, bands and the total weight of elements; node is null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SKETCH_BYTES):
             words, firsts = word_hashes(batch.column("text"), ALNUM)
-            own, doc = elements(words, firsts, counted)
-            keys = signed(band_keys(dart_signatures(own, None, doc, batch.num_rows)))
-            count = np.bincount(doc, minlength=batch.num_rows)
+            own, weight, doc = weighted(words, firsts)
+            keys = signed(band_keys(dart_signatures(own, weight if counted else None, doc, batch.num_rows)))
+            count = np.bincount(doc, weight if counted else None, batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(signed(nodes(words, firsts)), mask=count == 0), lists, pa.array(count.astype(np.int32))], names=["doc_id", "text_hash", "node", "bands", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>, n int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    return map_arrow(rows, run, "doc_id long, text_hash long, node long, bands array<long>, n int")
 
 
 def _read_again(docs: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
     """node and the 32-bit hashes of its elements, for the nodes of ``wanted``.
 
-    A filter of fixed size goes to the executors; the nodes that pass it by chance are dropped by a join.
+    A filter of bounded size goes to the executors; what passes it by chance is dropped by a join.  Beyond some 10^8
+    wanted nodes it passes more and more, and at last the elements of all texts go to the join: that is slower, about
+    one shuffle of the input, and as exact.
     """
-    slots = wanted.select(F.pmod("node", F.lit(FILTER_BITS)).cast("int").alias("s"))
-    bits = slots.groupBy(F.expr("s div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("b")).toPandas()
-    filter_ = np.zeros(FILTER_BITS // 32, np.uint32)
-    filter_[bits["w"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    shared = docs.sparkSession.sparkContext.broadcast(HashFilter(wanted.select("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words, firsts = word_hashes(batch.column("text"), ALNUM)
             node = signed(nodes(words, firsts))
-            at = node % FILTER_BITS
-            passed = ((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool) & (np.diff(firsts) > 0)
+            passed = shared.value.passes(node) & (np.diff(firsts) > 0)
             own, doc = elements(words, firsts, counted)
             chosen = passed[doc]
             count = np.bincount(doc[chosen], minlength=batch.num_rows)[passed]
@@ -195,7 +201,7 @@ def _read_again(docs: DataFrame, wanted: DataFrame, counted: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(small))
             yield pa.RecordBatch.from_arrays([pa.array(node[passed]), lists], names=["node", "own"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, own array<int>")
+    found = map_arrow(docs.select(F.col("text").cast("string")), run, "node long, own array<int>")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -282,7 +288,7 @@ def compare_blocks(members: DataFrame, texts: DataFrame, scratch: Scratch, simil
     return full.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
+def classes(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, weights: str = "count") -> DataFrame:
     """doc_id, class_id, class_size and text_hash of every document."""
     counted = weights == "count"
     sketched = scratch.keep(sketch(docs, counted), "sketch")
@@ -305,23 +311,44 @@ def classes(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, w
     if not more.isEmpty():
         labels = connect(edges.unionByName(more), scratch, "all-labels").withColumnRenamed("node", "m")
     scratch.drop("texts", "nodes", "wanted", "shared", "members", "rest", "open", "open-members")
-    by_node = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("c"))
-    named = by_node.join(labels, by_node.node == labels.m, "left").select("node", "id", "c", F.coalesce("label", "node").alias("label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    by_node = sketched.filter("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("c"))
+    named = by_node.join(labels, by_node.node == labels.m, "left").select("node", "first", "c", F.coalesce("label", "node").alias("label"))
     named = scratch.keep(named, "named")
-    by_class = scratch.keep(named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("c").alias("class_size")), "classes")
-    by_node = scratch.keep(named.join(by_class, "label").select(F.col("node").alias("m"), "class_id", "class_size"), "by-node")
+    by_class = scratch.keep(named.groupBy("label").agg(F.min("first").alias("head"), F.sum("c").alias("class_size")), "classes")
+    by_node = scratch.keep(named.join(by_class, "label").select(F.col("node").alias("m"), "head", "class_size"), "by-node")
+    scratch.drop_all_but("sketch", "by-node")
     rows = sketched.select("doc_id", "text_hash", "node")
     out = rows.join(by_node, rows.node == by_node.m, "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "text_hash")
+    return out.select(
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "text_hash", F.coalesce("head.text_hash", "text_hash").alias("first_hash"),
+    )
+
+
+def row_key(doc_id, text_hash):
+    return F.xxhash64(doc_id, text_hash)
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents less all but one of each class: the one of the least doc_id; rows with a null doc_id stay."""
-    found = classes(docs, scratch, similarity)
-    goes = (F.col("class_size") > 1) & (F.col("doc_id") != F.col("class_id"))
-    gone = scratch.keep(found.filter(goes).select("doc_id", "text_hash").distinct(), "gone")
-    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
-    kept = docs.join(gone, same, "left_anti")
-    if found.filter("class_size > 1 and doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])  # rows that repeat with their doc_id
-    return kept
+    """The documents less all but one of each class: that of the least doc_id (null last), and of these the least hash of its text.
+
+    Documents that surely stay pass a filter of bounded size; only the others, with their texts, meet the rows that go.
+    """
+    found = scratch.keep(classes(docs, scratch, similarity).filter("class_size > 1"), "found")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
+    key = row_key("doc_id", "text_hash").alias("__key")
+    gone = scratch.keep(found.filter(~stays).select(key).distinct(), "gone")
+    again = scratch.keep(found.filter(stays).groupBy(key).count().filter("count > 1").select("__key"), "again")
+    shared = docs.sparkSession.sparkContext.broadcast(HashFilter(gone.union(again)))
+    scratch.drop_all_but("gone", "again")
+
+    @F.pandas_udf("boolean")
+    def named(keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.passes(keys.to_numpy(np.int64)))
+
+    keyed = docs.withColumn("__key", row_key(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))).withColumn("__named", named("__key"))
+    rest = keyed.filter("__named").join(gone, "__key", "left_anti")
+    if not again.isEmpty():  # of rows that repeat as a whole one stays
+        rest = rest.join(again, "__key", "left_anti").unionByName(rest.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return keyed.filter(~F.col("__named")).unionByName(rest).select(*[column(c) for c in docs.columns])
