@@ -188,7 +188,7 @@ def test_acquire_all_gives_back():
 
     store = Store()
     with pytest.raises(OSError):
-        leases.acquire_all(store, ["a", "b", "c"])
+        leases.acquire_all(store, ["a", "b", "c"], sleep=lambda s: None)
     assert store.held == []
     slots = leases.Slots(1)
     assert slots.reserve("a") and not slots.reserve("a") and not slots.reserve("b")
@@ -260,3 +260,250 @@ def test_health_counts_beyond_recent_progress(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert (health["batches"], health["rows"]) == (2, 31)
+
+
+def log_lines(path, shard):
+    return [json.loads(x) for x in open(f"{path}/{shard}.jsonl")]
+
+
+def records_of(shard, first, last, data=b"x"):
+    return [(shard, str(i), "k", data) for i in range(first, last + 1)]
+
+
+class Stream:
+    """Runs over one log, each on the same checkpoint."""
+
+    def __init__(self, spark, tmp_path, options, **reading):
+        source.register(spark)
+        self.spark, self.dir, self.options, self.reading = spark, tmp_path, options, reading
+        self.log, self.out = str(tmp_path / "log"), str(tmp_path / "out")
+
+    def run(self, drain=True, **run):
+        reader = self.spark.readStream.format("shardlog").options(path=self.log, marks="true", progress=str(self.dir / "progress"), **self.reading)
+        r = Run(reader.load(), model.StreamConfig("g", stream_name="s"), self.options, self.out, on_record=run.pop("on_record", lambda row: None), sleep=lambda s: None, marks=True, **run)
+        q = r.start(str(self.dir / "cp"))
+        try:
+            q.processAllAvailable()
+            if drain:
+                r.drain()
+        finally:
+            r.close()
+        return r
+
+    def stored(self, r):
+        return {x.shard_id: x.checkpoint for x in r.stored(self.spark).collect()}
+
+    def saves(self):
+        return sorted((x.epoch, x.shard_id, x.value) for x in self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.out}/saves").collect())
+
+    def outcomes(self):
+        rows = self.spark.read.parquet(f"{self.out}/outcomes").collect()
+        return [(x.epoch, x.shard_id, int(x.sequence_number), x.outcome) for x in rows]
+
+
+def test_children_are_read_after_their_parents_end(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip"), maxRecordsPerShardPerBatch="2")
+    source.write_shard_log(records_of("p", 1, 3) + records_of("q", 1, 5) + records_of("child", 10, 12) + records_of("merged", 20, 21) + records_of("far", 1, 1), s.log, closed=("p",), parents={"child": ("p",), "merged": ("p", "q"), "far": ("unlisted",)})
+    r = s.run()
+    seen = {}
+    for epoch, shard, *_ in s.outcomes():
+        seen.setdefault(shard, []).append(epoch)
+    assert max(seen["p"]) < min(seen["child"]) and "merged" not in seen and min(seen["far"]) == 0
+    assert s.stored(r) == {"p": "SHARD_END:3", "q": "5", "child": "12", "far": "1"}
+    source.write_shard_log([], s.log, closed=("q",))
+    r = s.run()  # the other parent has ended with no further record
+    assert s.stored(r) == {"p": "SHARD_END:3", "q": "SHARD_END:5", "child": "12", "far": "1", "merged": "21"}
+    assert sorted(x[2] for x in s.outcomes() if x[1] == "q") == [1, 2, 3, 4, 5]
+
+
+def test_limits_hold_over_restarts(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip"), maxRecordsPerShardPerBatch="4")
+    source.write_shard_log(records_of("a", 1, 10), s.log)
+    s.run()
+    source.write_shard_log(records_of("a", 11, 13), s.log)
+    s.run()
+    assert sorted(x[2] for x in s.outcomes()) == list(range(1, 14))
+    assert max(sum(1 for x in s.outcomes() if x[0] == e) for e in {x[0] for x in s.outcomes()}) <= 4
+
+
+def test_positions_of_streams(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip"), start="LATEST")
+    source.write_shard_log(records_of("a", 1, 3), s.log)
+    s.run()
+    source.write_shard_log(records_of("a", 4, 5), s.log)
+    s.run()
+    assert sorted(x[2] for x in s.outcomes()) == [4, 5]
+    at = Stream(spark, tmp_path / "at", model.HandlerOptions(policy="skip"), start="AT_TIMESTAMP", startTimestamp="2024-05-01T12:00:00")
+    rows = [("a", "1", "k", b"x", "2024-05-01T11:59:59"), ("a", "2", "k", b"x", "2024-05-01T12:00:00"), ("a", "3", "k", b"x", "2024-05-01T12:00:09+00:00"), ("kid", "7", "k", b"x", "2024-05-01T11:00:00")]
+    source.write_shard_log(rows, at.log, closed=("a",), parents={"kid": ("a",)})
+    at.run()
+    assert sorted(x[2] for x in at.outcomes()) == [2, 3, 7]  # a child starts at its beginning
+    resumed = Stream(spark, tmp_path / "resumed", model.HandlerOptions(policy="skip"), after=json.dumps({"a": "2", "b": "SHARD_END:9"}))
+    source.write_shard_log(records_of("a", 1, 4) + records_of("b", 1, 9), resumed.log)
+    resumed.run()
+    assert sorted(x[1:3] for x in resumed.outcomes()) == [("a", 3), ("a", 4)]
+
+
+def test_cadence_goes_on_over_batches(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip", tuning=model.Tuning(batch_size=2, checkpoint_every=5)), maxRecordsPerShardPerBatch="2")
+    source.write_shard_log(records_of("a", 1, 9), s.log)
+    r = s.run(drain=False)
+    assert [x[1:] for x in s.saves()] == [("a", "6"), ("a", "9")]  # three pages of two; then the tip
+    assert s.stored(r) == {"a": "9"}
+
+
+def test_drain_saves_what_is_pending_and_no_end(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip", tuning=model.Tuning(batch_size=2, checkpoint_every=100)))
+    source.write_shard_log(records_of("a", 1, 3), s.log, closed=("a",))
+    reader = spark.readStream.format("shardlog").options(path=s.log, marks="true", progress=str(tmp_path / "progress"))
+    r = Run(reader.load(), model.StreamConfig("g", stream_name="s"), s.options, s.out, on_record=lambda row: None, sleep=lambda s: None, marks=True)
+    r.draining = True  # as if the drain began while the batch ran
+    r.start(str(tmp_path / "cp")).processAllAvailable()
+    r.drain()
+    assert s.stored(r) == {"a": "3"}
+    source.write_shard_log(records_of("b", 1, 1), s.log)
+    assert s.stored(s.run()) == {"a": "SHARD_END:3", "b": "1"}
+
+
+def test_fail_fast_covers_the_pages_before(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(tuning=model.Tuning(batch_size=2, checkpoint_every=2)))
+    source.write_shard_log(records_of("a", 1, 4) + records_of("a", 5, 5, b"bad") + records_of("a", 6, 8) + records_of("b", 1, 2), s.log)
+
+    def picky(row):
+        if row.data == b"bad":
+            raise ValueError("no")
+
+    with pytest.raises(Exception, match="shard a, record 5: failed after 3 attempts: no"):
+        s.run(on_record=picky)
+    assert [x[1:] for x in s.saves()] == [("a", "2"), ("a", "4"), ("b", "2")]
+    assert {(x[2], x[3]) for x in s.outcomes() if x[1] == "a" and x[2] > 4} == {(5, "failed"), (6, "unread"), (7, "unread"), (8, "unread")}
+    assert s.stored(s.run()) == {"a": "8", "b": "2"}  # the batch comes again
+
+
+def test_lost_dead_letter_holds_its_page(spark, tmp_path):
+    options = model.HandlerOptions(policy="send-to-dlq", has_publisher=True, tuning=model.Tuning(batch_size=2, checkpoint_every=100, publish_max_attempts=2))
+    s = Stream(spark, tmp_path, options)
+    source.write_shard_log(records_of("a", 1, 2, b"bad") + records_of("a", 3, 3) + records_of("a", 4, 4, b"bad") + records_of("a", 5, 6), s.log)
+
+    def picky(row):
+        if row.data == b"bad":
+            raise ValueError("no")
+
+    def publisher(row):
+        if row["sequence_number"] == "4":
+            raise OSError("down")
+
+    with pytest.raises(Exception, match="record 4: failed after 3 attempts: no; its dead letter was not published: down"):
+        s.run(on_record=picky, publisher=publisher)
+    assert [x[1:] for x in s.saves()] == [("a", "2")]  # published letters save their page at once; the page of 4 and those after stay
+    answered = {x.publish_attempts: x.publish_error for x in spark.read.parquet(f"{s.out}/published").collect()}
+    assert answered == {1: None, 2: "down"}
+    r = s.run(on_record=picky, publisher=lambda row: None)
+    assert s.stored(r) == {"a": "6"}
+    keys = [x.idempotency_key for x in spark.read.parquet(f"{s.out}/dlq").collect()]
+    assert len(keys) == len(set(keys)) == 3
+
+
+def test_a_hanging_attempt_holds_up_no_other(spark):
+    df = spark.createDataFrame([("k1",), ("k2",)], "idempotency_key string").coalesce(1)
+
+    def publisher(row):
+        if row["idempotency_key"] == "k1":
+            import time
+
+            time.sleep(60)
+
+    import time
+
+    began = time.monotonic()
+    rows = {r[0]: (r[1], r[2]) for r in handlers.publish(df, publisher, deadline=0.3, sleep=lambda s: None).collect()}
+    assert rows["k1"][0] == 3 and "0.3 s" in rows["k1"][1] and rows["k2"] == (1, None) and time.monotonic() - began < 30
+
+
+def test_first_error_stops_the_hand_out():
+    import threading
+
+    seen, gate = [], threading.Event()
+
+    def one(i):
+        seen.append(i)
+        if i == 1:
+            raise ValueError("no")
+        if i == 0:
+            gate.wait(5)
+        return i
+
+    threading.Timer(0.2, gate.set).start()
+    results, error = handlers.hand_out(list(range(100)), 2, one)
+    assert str(error) == "no" and sorted(seen) == [0, 1] and results[0] == 0 and results[1:] == [None] * 99
+    assert handlers.hand_out(list(range(7)), 3, lambda i: i * i) == ([i * i for i in range(7)], None)
+    assert handlers.hand_out([], 3, one) == ([], None)
+
+
+def test_batch_handlers_see_whole_pages_in_order(spark):
+    df = spark.range(25).selectExpr("'s' || (id % 2) shard_id", "cast(id as string) sequence_number", "cast(id div 2 as int) ordinal", "cast(id div 8 as int) page_no")
+    sizes = handlers.run_handler(df, model.HandlerOptions(kind="batch", policy="skip"), on_batch=lambda rows: None if [r.ordinal for r in rows] == sorted(r.ordinal for r in rows) and len({r.page_no for r in rows}) == 1 else 1 / 0, sleep=lambda s: None)
+    assert {r.outcome for r in sizes.collect()} == {"processed"}
+    bad = handlers.run_handler(df, model.HandlerOptions(kind="batch"), on_batch=lambda rows: 1 / 0 if rows[0].page_no == 1 and rows[0].shard_id == "s1" else None, sleep=lambda s: None, raises=False)
+    got = {(r.shard_id, r.page_no): r.outcome for r in bad.collect()}
+    assert got["s1", 0] == "processed" and got["s1", 1] == "failed" and got["s1", 2] == "unread" and {got["s0", i] for i in range(4)} == {"processed"}
+
+
+def test_stale_heartbeat_stops_the_run(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip", tuning=model.Tuning(heartbeat_interval_ms=50, heartbeat_ttl_ms=400)))
+    source.write_shard_log(records_of("a", 1, 1), s.log)
+
+    def beat():
+        raise OSError("store is down")
+
+    reader = spark.readStream.format("shardlog").options(path=s.log, marks="true")
+    r = Run(reader.load(), model.StreamConfig("g", stream_name="s"), s.options, s.out, on_record=lambda row: None, sleep=lambda s: None, marks=True, heartbeat=beat, sync=lambda: None)
+    r.start(str(tmp_path / "cp"))
+    with pytest.raises(model.HeartbeatStale):
+        r.wait(60)
+    health = r.health()
+    assert "store is down" in health["error"] and health["heartbeat_failures"] > 1 and health["sync_failures"] == 0
+
+
+def test_acquire_is_tried_again():
+    class Store:
+        def __init__(self):
+            self.calls, self.held = 0, []
+
+        def acquire(self, s):
+            self.calls += 1
+            if self.calls in (1, 3):
+                raise OSError
+            self.held.append(s)
+            return True
+
+    store, slept = Store(), []
+    assert leases.acquire_all(store, ["a", "b"], sleep=slept.append) == ["a", "b"] and slept == [1.0, 1.0]
+
+
+def test_reporter_gets_tagged_counters(spark, tmp_path):
+    s, got = Stream(spark, tmp_path, model.HandlerOptions(policy="skip", tuning=model.Tuning(batch_size=2))), []
+    source.write_shard_log(records_of("a", 1, 5), s.log)
+    s.run(reporter=lambda row: got.append((row.name, row.value, dict(row.tags))))
+    tags = {"stream": "s", "consumer_group": "g", "handler": "record", "policy": "skip", "shard": "a"}
+    assert ("kinesis_consumer.records_processed", 5.0, tags) in got and ("kinesis_consumer.pages_fetched", 3.0, tags) in got and ("kinesis_consumer.checkpoints_saved", 1.0, tags) in got
+
+
+def test_late_epochs_sort_after_early_ones(spark, tmp_path):
+    s = Stream(spark, tmp_path, model.HandlerOptions(policy="skip"))
+    for epoch, value in ((5, "7"), (300_000, "9")):
+        spark.createDataFrame([("g:s", "a", 0, value, epoch)], "identity string, shard_id string, arrival_index int, value string, epoch int").write.parquet(f"{s.out}/saves/epoch={epoch}")
+    r = Run(spark.range(0), model.StreamConfig("g", stream_name="s"), s.options, s.out, on_record=print)
+    assert s.stored(r) == {"a": "9"}
+
+
+def test_every_metric_of_the_catalog_is_emitted(spark):
+    from tideline.operators import metrics
+    from tideline.plans import registry
+
+    names = set()
+    for query in ("run_counters", "lease_counters", "rebalance_counters", "event_counters", "operation_timings", "lag_gauges", "idle_gauges"):
+        names |= {r.name for r in registry.QUERIES[query](spark, "/root/testdata/sf0.001").select("name").distinct().collect()}
+    failed = spark.createDataFrame([("renew", "a", False, "down"), ("release", "a", False, "down")], "op string, shard_id string, ok boolean, error string")
+    names |= {r.name for r in metrics.lease_counters(failed).collect()}
+    assert names == {metrics.PREFIX + n for n in (*metrics.COUNTERS, *metrics.GAUGES, *metrics.TIMINGS)}

@@ -68,6 +68,14 @@ class DrainTimeout(EngineError):
     """The run did not end in time."""
 
 
+class HandlerFailed(EngineError):
+    """A handler failed for good under fail-fast."""
+
+
+class PublishFailed(EngineError):
+    """A dead letter was not published; names what the handler and the publisher raised."""
+
+
 class NotOwned(EngineError):
     """The lease is not held by this owner."""
 
@@ -131,7 +139,7 @@ class StreamConfig:
 
 @dataclass(frozen=True)
 class Tuning:
-    """Seconds, where a time is meant, but for the heartbeat, which is in milliseconds."""
+    """Seconds, where a time is meant, but for the heartbeat, which is in milliseconds.  Defaults are fixed values."""
 
     shard_concurrency: int = 1
     batch_size: int = 100
@@ -148,6 +156,9 @@ class Tuning:
     heartbeat_ttl_ms: int = 20_000
     lease_release_timeout: float = 5.0
     shard_cooldown: float = 10.0
+    publish_max_attempts: int = 3
+    publish_backoff: float = 1.0
+    publish_timeout: float = 10.0
     max_moves: int = 2
     max_shards: int = 0  # no bound
 
@@ -169,6 +180,9 @@ class Tuning:
             "heartbeat_ttl_ms must be three intervals at least": self.heartbeat_ttl_ms >= 3 * self.heartbeat_interval_ms,
             "lease_release_timeout must be positive": self.lease_release_timeout > 0,
             "shard_cooldown must be positive": self.shard_cooldown > 0,
+            "publish_max_attempts must be at least 1": self.publish_max_attempts >= 1,
+            "publish_backoff can't be negative": self.publish_backoff >= 0,
+            "publish_timeout must be positive": self.publish_timeout > 0,
             "max_moves must be at least 1": self.max_moves >= 1,
         }
         for rule, holds in rules.items():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seqnum
@@ -14,15 +17,11 @@ def merge_saves(saves: DataFrame) -> DataFrame:
 
     The first end mark wins for good; before one, the greatest sequence number.  Rows with
     ``value`` null are deletes, which let progress start anew.  Plain aggregates, combined
-    before the shuffle; only a log with deletes pays for a window.
+    before the shuffle; a log meets the last deletes of its shards in a join.
     """
     by = ["identity", "shard_id"]
-    if saves.filter(F.col("value").isNull()).isEmpty():
-        rows = saves.withColumn("_run", F.lit(0))
-    else:
-        run = Window.partitionBy(*by).orderBy("arrival_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = saves.withColumn("_run", F.count_if(F.col("value").isNull()).over(run))
-        rows = rows.withColumn("_last", F.max("_run").over(Window.partitionBy(*by))).filter("_run = _last").drop("_last")
+    deletes = saves.filter(F.col("value").isNull()).groupBy(*by).agg(F.max("arrival_index").alias("_deleted"))
+    rows = saves.join(deletes, by, "left").filter(F.col("_deleted").isNull() | (F.col("arrival_index") > F.col("_deleted")))
     value = F.col("value")
     real = rows.filter(value.isNotNull() & (value != ""))
     end = F.min_by(F.when(seqnum.is_end(value), value), F.when(seqnum.is_end(value), F.col("arrival_index")))
@@ -48,26 +47,52 @@ def validate(stored: DataFrame) -> DataFrame:
     return stored
 
 
-def due_pages(progress: DataFrame, every: int) -> DataFrame:
-    """With ``due``: whether a save is made at the end of the page.
+def due_pages(progress: DataFrame, every: int, held: DataFrame | None = None) -> DataFrame:
+    """With ``due`` (whether a save is made at the end of the page), ``held`` (records since the last save) and ``last`` (the shard's last page here).
 
     The count of records since the last save is kept page by page; at ``every`` or more,
     or after a published dead letter, the page's end is saved and the count begins at 0
-    again.  That depends on the order, so each shard's pages are folded one by one: the fold
-    is over page summaries, not records.
+    again.  ``held`` (shard_id, held) carries counts over from an earlier run.  That depends
+    on the order, so each shard's pages are walked in order; a task keeps one count, whatever
+    the number of pages, and walks page summaries, not records.
     """
-    page = F.struct("page_no", "n", F.coalesce("flush", F.lit(False)).alias("flush"), "last_seq")
-    shards = progress.groupBy("shard_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<page_no:int,n:bigint,last_seq:string,due:boolean>>").alias("out"))
-
-    def step(acc, p):
-        held = acc["held"] + p["n"]
-        due = (held >= every) | p["flush"]
-        row = F.struct(p["page_no"].cast("int").alias("page_no"), p["n"].cast("long").alias("n"), p["last_seq"].alias("last_seq"), due.alias("due"))
-        return F.struct(F.when(due, F.lit(0).cast("long")).otherwise(held).alias("held"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = shards.select("shard_id", F.explode(F.aggregate("pages", start, step, lambda a: a["out"])).alias("p"))
-    return folded.select("shard_id", "p.page_no", "p.n", "p.last_seq", "p.due")
+    rows = progress.select("shard_id", F.col("page_no").cast("int").alias("page_no"), F.col("n").cast("long").alias("n"), "last_seq", F.coalesce("flush", F.lit(False)).alias("flush"))
+    if held is not None:
+        first = held.select("shard_id", F.lit(-1).alias("page_no"), F.col("held").cast("long").alias("n"), F.lit(None).cast("string").alias("last_seq"), F.lit(False).alias("flush"))
+        rows = rows.unionByName(first)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, count, kept = None, 0, []  # kept: the row of which it is not known yet whether it is the last
+
+        def emit(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_WALKED.types)], names=_WALKED.names)
+
+        for batch in batches:
+            out = []
+            for s, page, n, last_seq, flush in zip(*(batch.column(c).to_pylist() for c in ("shard_id", "page_no", "n", "last_seq", "flush"))):
+                if s != shard:
+                    shard, count = s, 0
+                    for row in kept:
+                        row[6] = True
+                out += kept
+                kept = []
+                count += n
+                if page < 0:
+                    continue
+                due = flush or count >= every
+                count = 0 if due else count
+                kept = [[s, page, n, last_seq, due, count, False]]
+            if out:
+                yield emit(out)
+        for row in kept:
+            row[6] = True
+        if kept:
+            yield emit(kept)
+
+    return rows.repartition("shard_id").sortWithinPartitions("shard_id", "page_no").mapInArrow(walk, "shard_id string, page_no int, n long, last_seq string, due boolean, held long, last boolean")
+
+
+_WALKED = pa.schema([("shard_id", pa.string()), ("page_no", pa.int32()), ("n", pa.int64()), ("last_seq", pa.string()), ("due", pa.bool_()), ("held", pa.int64()), ("last", pa.bool_())])
 
 
 def saves_of(progress: DataFrame, every: int, identity: str, drained: bool = False, closed: DataFrame | None = None) -> DataFrame:
@@ -75,12 +100,13 @@ def saves_of(progress: DataFrame, every: int, identity: str, drained: bool = Fal
 
     A shard that closes while draining gets no end mark.
     """
-    due = due_pages(progress, every)
-    last = Window.partitionBy("shard_id")
-    rows = due.withColumn("last_page", F.max("page_no").over(last))
-    saves = rows.filter(F.col("due") | (F.lit(drained) & (F.col("page_no") == F.col("last_page"))))
+    return saves_of_walked(due_pages(progress, every), identity, drained, closed)
+
+
+def saves_of_walked(walked: DataFrame, identity: str, drained: bool = False, closed: DataFrame | None = None) -> DataFrame:
+    saves = walked.filter(F.col("due") | (F.lit(drained) & F.col("last")))
     out = saves.select(F.lit(identity).alias("identity"), "shard_id", (F.col("page_no") * 2).cast("int").alias("arrival_index"), F.col("last_seq").alias("value"))
     if closed is not None and not drained:
-        ends = rows.filter("page_no = last_page").join(closed, "shard_id", "left_semi")
+        ends = walked.filter("last").join(closed, "shard_id", "left_semi")
         out = out.unionByName(ends.select(F.lit(identity).alias("identity"), "shard_id", (F.col("page_no") * 2 + 1).cast("int").alias("arrival_index"), seqnum.end_mark(F.col("last_seq")).alias("value")))
     return out

@@ -6,16 +6,18 @@ What happened is a table: each record with attempts, outcome and error.
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import BATCH, FAIL_FAST, HandlerOptions, HandlerPanic, one_handler
+from ..model import BATCH, SEND_TO_DLQ, SKIP, HandlerOptions, HandlerPanic, one_handler
 
 
 def call_with_retry(call: Callable[[], None], most: int, backoff: float, sleep=time.sleep) -> tuple[int, BaseException | None]:
@@ -35,68 +37,153 @@ def call_with_retry(call: Callable[[], None], most: int, backoff: float, sleep=t
     return most, error
 
 
-def _failed(options: HandlerOptions, attempts: int, error: BaseException) -> str:
-    text = f"failed after {attempts} attempts: {error}"
-    if options.effective_policy == FAIL_FAST:
-        raise RuntimeError(text) from error
-    return text
+def hand_out(rows: list, most: int, one: Callable) -> tuple[list, BaseException | None]:
+    """Results of ``one`` for each row, by ``most`` threads that take the next row in turn; None for rows not handed out.
 
-
-def run_handler(pages: DataFrame, options: HandlerOptions, on_record=None, on_batch=None, sleep=time.sleep) -> DataFrame:
+    The first error stops the hand-out; rows that are being handled are waited for.
+    """
+    results: list = [None] * len(rows)
+    turn, lock, errors = iter(range(len(rows))), threading.Lock(), []
+
+    def work() -> None:
+        while not errors:
+            with lock:
+                i = next(turn, None)
+            if i is None:
+                return
+            try:
+                results[i] = one(rows[i])
+            except BaseException as e:  # noqa: BLE001  goes to the caller
+                errors.append(e)
+
+    if min(most, len(rows)) <= 1:
+        work()
+    else:
+        threads = [threading.Thread(target=work, daemon=True) for _ in range(min(most, len(rows)))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+    return results, errors[0] if errors else None
+
+
+class _Stop(Exception):
+    """A record that failed for good under fail-fast."""
+
+    def __init__(self, attempts: int, error: BaseException):
+        super().__init__(f"failed after {attempts} attempts: {error}")
+        self.attempts = attempts
+
+
+def whole_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of one page each, from frames that are sorted by shard and ordinal."""
+    rest = None
+    for pdf in frames:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        cuts = np.flatnonzero((pdf["shard_id"] != pdf["shard_id"].shift()) | (pdf["page_no"] != pdf["page_no"].shift())).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield pdf.iloc[a:b]
+        rest = pdf.iloc[cuts[-1] :] if cuts else None
+    if rest is not None:
+        yield rest
+
+
+def run_handler(pages: DataFrame, options: HandlerOptions, on_record=None, on_batch=None, sleep=time.sleep, raises: bool = True) -> DataFrame:
     """``pages`` with attempts, outcome and error of each record.
 
-    fail-fast raises, which fails the batch before any progress is committed.  Record
-    handlers run over Arrow batches sorted within shards; batch handlers get whole pages.
-    With ``shard_concurrency`` above 1, records of a batch are handled by so many threads
-    and lose their order.
+    A shard's pages are handled in order, by one task.  Under fail-fast the first failure
+    raises, which fails the batch before any progress is committed; with ``raises`` false
+    its records get the outcome ``failed``, and what follows in the shard ``unread``.  With
+    ``shard_concurrency`` above 1, the records of a page are handled by so many threads and
+    lose their order; the first failure then stops the hand-out.
     """
     kind, t = one_handler(on_record, on_batch), options.tuning
     if kind != options.kind:
         raise ValueError(f"a {options.kind} handler is expected")
-    good = {"skip": "skipped", "send-to-dlq": "dlq"}.get(options.effective_policy)
+    good = {SKIP: "skipped", SEND_TO_DLQ: "dlq"}.get(options.effective_policy)
     schema = T.StructType([*pages.schema.fields, T.StructField("attempts", T.IntegerType()), T.StructField("outcome", T.StringType()), T.StructField("error", T.StringType())])
 
-    def one(row) -> tuple[int, str, str | None]:
-        attempts, error = call_with_retry(lambda: on_record(row), t.retry_max_attempts, t.retry_backoff, sleep)
-        return (attempts, "processed", None) if error is None else (attempts, good, _failed(options, attempts, error))
-
-    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = list(pdf.itertuples(index=False))
-            if t.shard_concurrency > 1:
-                with ThreadPoolExecutor(t.shard_concurrency) as pool:
-                    got = list(pool.map(one, rows))
-            else:
-                got = [one(r) for r in rows]
-            yield pdf.assign(attempts=[g[0] for g in got], outcome=[g[1] for g in got], error=[g[2] for g in got])
+    def settled(call: Callable[[], None]) -> tuple[int, str, str | None]:
+        attempts, error = call_with_retry(call, t.retry_max_attempts, t.retry_backoff, sleep)
+        if error is None:
+            return attempts, "processed", None
+        stop = _Stop(attempts, error)
+        if good is None:
+            raise stop from error
+        return attempts, good, str(stop)
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
+    def handled(pdf: pd.DataFrame) -> tuple[pd.DataFrame, BaseException | None]:
         rows = list(pdf.itertuples(index=False))
-        attempts, error = call_with_retry(lambda: on_batch(rows), t.retry_max_attempts, t.retry_backoff, sleep)
-        outcome, text = ("processed", None) if error is None else (good, _failed(options, attempts, error))
-        return pdf.assign(attempts=attempts, outcome=outcome, error=text)
+        if kind == BATCH:
+            got, error = hand_out([rows], 1, lambda page: settled(lambda: on_batch(page)))
+            got = got * len(rows)
+        else:
+            got, error = hand_out(rows, t.shard_concurrency, lambda row: settled(lambda: on_record(row)))
+        if error is not None:
+            first = next((i for i, g in enumerate(got) if g is None), 0)  # of several at once the first in order
+            failed = range(len(rows)) if kind == BATCH else (first,)
+            attempts = getattr(error, "attempts", 1)
+            got = [(attempts, "failed", str(error)) if i in failed else g or (0, "unread", None) for i, g in enumerate(got)]
+        return pdf.assign(attempts=[g[0] for g in got], outcome=[g[1] for g in got], error=[g[2] for g in got]), error
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped, out, n = None, [], 0
+        for pdf in whole_pages(frames):
+            shard = pdf["shard_id"].iloc[0]
+            if shard == stopped:
+                done = pdf.assign(attempts=0, outcome="unread", error=None)
+            else:
+                done, error = handled(pdf)
+                if error is not None:
+                    if raises:
+                        raise RuntimeError(str(error)) from error
+                    stopped = shard
+            out.append(done)
+            n += len(done)
+            if n >= 10_000:
+                yield pd.concat(out, ignore_index=True)
+                out, n = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    return pages.repartition("shard_id").sortWithinPartitions("shard_id", "ordinal").mapInPandas(run, schema)
+
+
+def within(seconds: float, call: Callable[[], None]) -> None:
+    """Calls in a thread of its own; raises TimeoutError after ``seconds``, even if the call ends well later."""
+    result: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            call()
+            result.put(None)
+        except BaseException as e:  # noqa: BLE001  goes to the caller
+            result.put(e)
 
-    if kind == BATCH:
-        return pages.groupBy("shard_id", "page_no").applyInPandas(page, schema)  # a page holds batch_size records at most
-    return pages.repartition("shard_id").sortWithinPartitions("shard_id", "ordinal").mapInPandas(records, schema)
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        error = result.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if error is not None:
+        raise error
 
 
 def publish(rows: DataFrame, publisher: Callable[[dict], None], most: int = 3, backoff: float = 1.0, deadline: float = 10.0, sleep=time.sleep) -> DataFrame:
     """Gives each poison record to ``publisher`` with retries; returns idempotency_key, publish_attempts and publish_error.
 
-    An attempt that takes longer than ``deadline`` seconds counts as failed, even if it ends well later.
+    Each attempt has a thread and a deadline of its own: one that hangs delays neither the
+    next attempt nor the next record.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(1)
         for pdf in frames:
             out = []
             for row in pdf.to_dict("records"):
-                attempts, error = call_with_retry(lambda row=row: pool.submit(publisher, row).result(timeout=deadline), most, backoff, sleep)
+                attempts, error = call_with_retry(lambda row=row: within(deadline, lambda: publisher(row)), most, backoff, sleep)
                 out.append((row["idempotency_key"], attempts, None if error is None else str(error) or type(error).__name__))
             yield pd.DataFrame(out, columns=["idempotency_key", "publish_attempts", "publish_error"])
-        pool.shutdown(wait=False)
 
     return rows.mapInPandas(run, "idempotency_key string, publish_attempts int, publish_error string")
 

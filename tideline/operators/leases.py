@@ -6,6 +6,7 @@ of shared leases testable and answers who owned what, from a log.
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 import pandas as pd
@@ -88,17 +89,22 @@ class Slots:
         self.held.discard(key)
 
 
-def acquire_all(store, shard_ids: list[str]) -> list[str]:
-    """Acquires several shards; if one raises, what was taken is given back."""
+def acquire_all(store, shard_ids: list[str], most: int = 3, backoff: float = 1.0, sleep=time.sleep) -> list[str]:
+    """Acquires several shards, each with ``most`` attempts a constant ``backoff`` apart; if one raises to the last, what was taken is given back."""
     taken: list[str] = []
     try:
         for shard_id in shard_ids:
-            if store.acquire(shard_id):
-                taken.append(shard_id)
+            for attempt in range(1, most + 1):
+                try:
+                    if store.acquire(shard_id):
+                        taken.append(shard_id)
+                    break
+                except Exception:
+                    if attempt == most:
+                        raise
+                    sleep(backoff)
     except Exception:
         for shard_id in taken:
             store.release(shard_id)
         raise
     return taken
-
-

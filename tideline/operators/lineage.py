@@ -59,9 +59,10 @@ def with_known_parent(shards: DataFrame) -> DataFrame:
 
 def prune(known: DataFrame, listed: DataFrame, running: DataFrame) -> DataFrame:
     """Known shards that are still listed or still run here; an empty listing prunes nothing."""
-    if listed.isEmpty():
-        return known
-    return known.join(listed.select("shard_id").union(running.select("shard_id")).distinct(), "shard_id", "left_semi")
+    none_listed = listed.agg((F.count("*") == 0).alias("_none"))  # one row
+    all_known = known.select("shard_id", F.lit(True).alias("_none")).join(none_listed, "_none", "left_semi").select("shard_id")
+    kept = listed.select("shard_id").union(running.select("shard_id")).union(all_known)
+    return known.join(kept.distinct(), "shard_id", "left_semi")
 
 
 def prune_completions(done: DataFrame, kept: DataFrame) -> DataFrame:

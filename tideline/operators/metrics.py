@@ -48,6 +48,69 @@ def shard_counters(outcomes: DataFrame, saves: DataFrame) -> DataFrame:
     return long.select(F.concat(F.lit(PREFIX), "name").alias("name"), "shard_id", "value")
 
 
+def tagged(counters: DataFrame, tags: dict[str, str], *by: str) -> DataFrame:
+    """name, type, value and tags of counters (name, shard_id, value, and the columns ``by``); zeros are not emitted.
+
+    Each emission has the tags of the stream, its shard if it has one, and the columns ``by`` as tags of their names.
+    """
+    pairs = [F.lit(x) for pair in tags.items() for x in pair]
+    for tag, c in (("shard", "shard_id"), *((b, b) for b in by)):
+        pairs += [F.lit(tag), F.col(c)]
+    every = F.create_map(*pairs)
+    return counters.filter("value <> 0").select("name", F.lit("c").alias("type"), F.col("value").cast("double").alias("value"), F.map_filter(every, lambda _, v: v.isNotNull()).alias("tags"))
+
+
+def _named(rows: DataFrame, name: Column) -> DataFrame:
+    """name, shard_id and value: how many rows have each name; rows without one count for nothing."""
+    named = rows.select(F.concat(F.lit(PREFIX), name).alias("name"), "shard_id", *[c for c in ("kind", "outcome") if c in rows.columns]).filter("name is not null")
+    return named.groupBy(named.columns).agg(F.count("*").alias("value"))
+
+
+def lease_counters(results: DataFrame) -> DataFrame:
+    """Counters of lease operations that took effect or not (op, shard_id, ok; ``error`` if the store failed).
+
+    A release of a lease that is not held any more is a lease lost, not a failure; so is a renewal.
+    """
+    op, ok, error = F.col("op"), F.col("ok"), F.col("error").isNotNull()
+    got = F.when(op.isin("acquire", "claim") & ok & ~error, "lease_acquired")
+    got = got.when((op == "renew") & error, "lease_renewal_failures").when((op == "renew") & ok, "lease_renewals").when((op == "release") & error, "lease_release_failures")
+    got = got.when((op == "release") & ok, "lease_released").when(op.isin("renew", "release") & ~ok, "lease_lost")
+    return _named(results, got)
+
+
+def rebalance_counters(executed: DataFrame) -> DataFrame:
+    """Counters of a pass's actions by ``kind``: acquire, claim or shed."""
+    kinds = F.when(F.col("kind") == "acquire_unowned", "acquire").when(F.col("kind") == "claim_donor", "claim").otherwise(F.col("kind"))
+    return _named(executed.withColumn("kind", kinds), F.when(F.col("result") == "moved", "rebalance_moves").otherwise("rebalance_skips"))
+
+
+def event_counters(events: DataFrame) -> DataFrame:
+    """Counters of a log of events (event, shard_id, ok, kind, outcome): reads, saves, beats, passes, syncs, shards' ends, workers' lives.
+
+    A failed read has its error's class as ``kind``; a worker that stopped has ``outcome`` clean or error.
+    """
+    e, ok = F.col("event"), F.col("ok")
+    got = F.when((e == "read") & ok, "pages_fetched").when(e == "read", "get_records_failures").when((e == "save") & ok, "checkpoints_saved").when(e == "save", "checkpoint_failures")
+    for event, name in (("heartbeat", "heartbeat_failures"), ("rebalance", "rebalance_pass_failures"), ("sync", "shard_sync_failures")):
+        got = got.when((e == event) & ~ok, name)
+    for event, name in (("shard_end", "shards_completed"), ("worker_start", "worker_starts"), ("worker_stop", "worker_stops"), ("deregister", "worker_deregistered")):
+        got = got.when((e == event) & ok, name)
+    return _named(events, got)
+
+
+def timings(spans: DataFrame) -> DataFrame:
+    """name, type, value (milliseconds) and shard_id of spans (span, shard_id, began, ended)."""
+    names = F.when(F.col("span") == "handler", "handler_duration").when(F.col("span") == "read", "get_records_duration").when(F.col("span") == "save", "checkpoint_save_duration")
+    names = names.when(F.col("span") == "acquire", "lease_acquire_duration").when(F.col("span") == "rebalance", "rebalance_pass_duration").when(F.col("span") == "drain", "drain_duration")
+    took = (F.unix_micros("ended") - F.unix_micros("began")) / 1000
+    return spans.select(F.concat(F.lit(PREFIX), names).alias("name"), F.lit("ms").alias("type"), took.alias("value"), "shard_id").filter("name is not null")
+
+
+def lag_gauges(lags: DataFrame) -> DataFrame:
+    """name, shard_id and value: how far each shard is behind."""
+    return lags.select(F.lit(PREFIX + "millis_behind_latest").alias("name"), "shard_id", F.col("millis_behind_latest").cast("double").alias("value"))
+
+
 def ownership_gauges(shares: DataFrame) -> DataFrame:
     """name and value; with no ready shard the shares are 0."""
     names = {"owned_shards": "owned", "active_workers": "active_workers", "fair_share_low": "low", "fair_share_high": "high"}

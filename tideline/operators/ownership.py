@@ -7,10 +7,13 @@ those before, over one row per ready shard; it is folded on the driver, like any
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .leases import step as lease_step
+
 ACQUIRE, CLAIM, SHED = "acquire_unowned", "claim_donor", "shed"
 
 
@@ -49,21 +52,27 @@ def eligible(shards: DataFrame, cooldown: DataFrame, local: DataFrame, now) -> D
     return shards.join(cooling, "shard_id", "left_anti").join(local.select("shard_id"), "shard_id", "left_anti")
 
 
+def first_of(shards: DataFrame, budget: DataFrame) -> DataFrame:
+    """The first shards by id, as many as the one row of ``budget`` says; over one row per ready shard of one stream."""
+    ranked = shards.select("shard_id", F.row_number().over(Window.orderBy("shard_id")).alias("_rank"), F.lit(1).alias("_one"))
+    return ranked.join(budget.withColumn("_one", F.lit(1)), "_one").filter(F.col("_rank") <= F.col("budget")).select("shard_id")
+
+
 def sync_acquire(ready: DataFrame, leases: DataFrame, workers: DataFrame, self_owner: str, cooldown: DataFrame, local: DataFrame, now) -> DataFrame:
     """Unowned shards to acquire at a sync: the first eligible ones up to the high share."""
-    row = shares(ready, leases, workers, self_owner).first()
+    budget = shares(ready, leases, workers, self_owner).select((F.col("high") - F.col("owned")).alias("budget"))
     free = owned(ready, leases).filter(F.col("owner").isNull()).select("shard_id")
-    return eligible(free, cooldown, local, now).orderBy("shard_id").limit(max(0, row.high - row.owned))
+    return first_of(eligible(free, cooldown, local, now), budget)
 
 
 def shed(ready: DataFrame, leases: DataFrame, workers: DataFrame, self_owner: str, cooldown: DataFrame, local: DataFrame, now, moves: int) -> DataFrame:
     """Own shards to give up: those above the high share, running and not cooling, at most ``moves``."""
-    row = shares(ready, leases, workers, self_owner).first()
+    budget = shares(ready, leases, workers, self_owner).select(F.least(F.col("owned") - F.col("high"), F.lit(moves)).alias("budget"))
     mine = owned(ready, leases).filter(F.col("owner") == self_owner).select("shard_id")
     cooling = cooldown.filter(F.col("until") > F.lit(now).cast("timestamp")).select("shard_id")
     running = local.filter("not stopping").select("shard_id")
     rows = mine.join(cooling, "shard_id", "left_anti").join(running, "shard_id", "left_semi")
-    return rows.orderBy("shard_id").limit(max(0, min(row.owned - row.high, moves)))
+    return first_of(rows, budget)
 
 
 @dataclass
@@ -137,6 +146,46 @@ def rebalance(spark, state: Snapshot, moves: int, cooling: set[str] = frozenset(
     return spark.createDataFrame(rows, "action_no int, kind string, shard_id string, donor string")
 
 
+EXECUTED = "action_no int, kind string, shard_id string, donor string, result string"
+
+
+def rebalance_pass(spark, state: Snapshot, leases: DataFrame, moves: int, now: datetime, ttl_ms: int, cooldown_s: float, cooling: set[str] = frozenset(), running: set[str] = frozenset()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass with its effects: what became of each action, the leases after it, and until when moved shards cool down.
+
+    The plan is made from ``state``; ``leases`` (shard_id, owner, expires_at) are as they
+    are when it is carried out.  An unowned shard is acquired and a donor's claimed by the
+    laws of leases; a lost race is a skip, not an error, and costs no move.  With the moves
+    left, own shards above the high share of ``state`` are released, which neither cool down
+    nor were just moved.  Folded on the driver over one row per lease of a stream.
+    """
+    held = {r.shard_id: (r.owner, r.expires_at) for r in leases.select("shard_id", "owner", F.col("expires_at").cast("timestamp").alias("expires_at")).collect()}
+    me, ttl, at = state.self_owner, timedelta(milliseconds=ttl_ms), now.astimezone().replace(tzinfo=None)  # as Spark's rows have it
+    results, moved = [], []
+
+    def act(kind: str, shard: str, donor: str, op: str) -> None:
+        entry, ok = lease_step(held.get(shard), op, me, donor, at, ttl)
+        held.pop(shard, None)
+        if entry is not None:
+            held[shard] = entry
+        moved.extend([shard] * ok)
+        results.append((len(results), kind, shard, donor, "moved" if ok else "skipped"))
+
+    for kind, shard, donor in plan(state, moves) if state.ready else []:
+        act(kind, shard, donor, {ACQUIRE: "acquire", CLAIM: "claim"}[kind])
+    mine = state.by_owner.get(me, [])
+    extra = max(0, min(len(mine) - state.high, moves - len(moved)))
+    for shard in [s for s in mine if s in running and s not in cooling and s not in moved][:extra]:
+        act(SHED, shard, "", "release")
+    left = spark.createDataFrame([(s, *e) for s, e in sorted(held.items())], "shard_id string, owner string, expires_at timestamp")
+    until = spark.createDataFrame([(s, at + timedelta(seconds=cooldown_s)) for s in moved], "shard_id string, until timestamp")
+    return spark.createDataFrame(results, EXECUTED), left, until
+
+
+def next_pass(minimum: float, jitter: float, share) -> Column:
+    """Seconds to the next pass; ``share`` is a column from 0 to 1, such as F.rand()."""
+    return F.lit(minimum) + F.lit(jitter) * share
+
+
 def snapshot_of(ready: DataFrame, leases: DataFrame, workers: DataFrame, self_owner: str, blocked: set[str] = frozenset()) -> Snapshot:
     """Gathers the planner's state: one row per ready shard and worker."""
     return Snapshot([r[0] for r in ready.select("shard_id").collect()], {r.shard_id: r.owner for r in leases.select("shard_id", "owner").collect()}, [r[0] for r in workers.select("owner").collect()], self_owner, set(blocked))

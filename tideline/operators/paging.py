@@ -21,8 +21,12 @@ def paginate(records: DataFrame, batch_size: int = 100) -> DataFrame:
 
 
 def bound(records: DataFrame, per_shard: int) -> DataFrame:
-    """At most so many records of each shard: the read limit of one pass."""
-    return paginate(records, per_shard).filter("page_no = 0").drop("ordinal", "page_no")
+    """At most so many records of each shard: the read limit of one pass.
+
+    Spark keeps only these while it sorts each partition, before and after the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy("shard_id").orderBy(*order()))
+    return records.withColumn("_rank", rank).filter(F.col("_rank") <= per_shard).drop("_rank")
 
 
 def summarize(pages: DataFrame) -> DataFrame:

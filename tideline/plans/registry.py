@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arn, keys, retry, seqnum
-from ..model import AT_TIMESTAMP, BATCH, LATEST, RECORD, SEND_TO_DLQ, SHARD_END, SKIP, TRIM_HORIZON, HandlerOptions, Tuning
+from ..model import AT_TIMESTAMP, BATCH, LATEST, RECORD, SEND_TO_DLQ, SHARD_END, SKIP, TRIM_HORIZON, HandlerOptions, StreamConfig, Tuning
 from ..operators import checkpoints, failures, handlers, leases, lineage, metrics, ownership, paging, positions
+from ..session import shared_folder
 from ..sources import records as source
 from ..streaming import run as streaming
 from .fixtures import NOW, cte, frame, timed
@@ -346,7 +347,8 @@ def checkpoint_validity(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {outcome_sql(RECORD, 'dlq')}, {FOLD.format(every=250)} SELECT shard_id, page_no, n, last_seq, due FROM f""")
 def checkpoint_cadence(spark, sf_dir):
-    return checkpoints.due_pages(failures.progress(outcome_rows(spark, sf_dir, RECORD_DLQ), RECORD_DLQ), 250)
+    walked = checkpoints.due_pages(failures.progress(outcome_rows(spark, sf_dir, RECORD_DLQ), RECORD_DLQ), 250)
+    return walked.select("shard_id", "page_no", "n", "last_seq", "due")
 
 
 @query(f"""WITH {PG} SELECT 'workers:events' AS identity, shard_id, arg_max(sequence_number, ordinal) AS checkpoint FROM pg GROUP BY shard_id""")
@@ -373,6 +375,19 @@ def replay_after_crash(spark, sf_dir):
     return positions.replay_set(source.from_events(spark, sf_dir), stored, frontier).select("shard_id", "sequence_number")
 
 
+CARRIED = {"shardId-000000000000": 40, "shardId-000000000002": 249}
+
+
+@query(f"""WITH RECURSIVE {outcome_sql(RECORD, 'skipped')}, p AS (SELECT shard_id, page_no, count(*) AS n FROM o GROUP BY ALL),
+f AS (SELECT shard_id, page_no, n + c >= 250 AS due, CASE WHEN n + c >= 250 THEN 0 ELSE n + c END AS held FROM (SELECT *, CASE shard_id WHEN 'shardId-000000000000' THEN 40 WHEN 'shardId-000000000002' THEN 249 ELSE 0 END AS c FROM p WHERE page_no = 0)
+  UNION ALL SELECT p.shard_id, p.page_no, f.held + p.n >= 250, CASE WHEN f.held + p.n >= 250 THEN 0 ELSE f.held + p.n END FROM f JOIN p ON p.shard_id = f.shard_id AND p.page_no = f.page_no + 1)
+SELECT shard_id, page_no, due, held, page_no = max(page_no) OVER (PARTITION BY shard_id) AS last FROM f""")
+def checkpoint_cadence_carried(spark, sf_dir):
+    held = spark.createDataFrame(list(CARRIED.items()), "shard_id string, held long")
+    walked = checkpoints.due_pages(failures.progress(outcome_rows(spark, sf_dir, RECORD_SKIP), RECORD_SKIP), 250, held)
+    return walked.select("shard_id", "page_no", "due", "held", "last")
+
+
 # ------------------------------------------------------------------ lineage
 
 DONE = "done AS (SELECT shard_id FROM fx_checkpoints WHERE checkpoint LIKE 'SHARD_END%')"
@@ -515,6 +530,52 @@ def plan_shed(spark, sf_dir):
     return ownership.rebalance(spark, state, 2, cooling={"s0"}, running={"s0", "s1", "s3", "s4"})
 
 
+def _pass(spark):
+    """A pass planned from a snapshot in which b and c were the donor's and d and e free; since then other took c and e."""
+    held = {"b": "donor", "c": "donor", "f": "donor", "g": "donor", "h": "other", "a": "me"}
+    state = ownership.Snapshot(list("abcdefgh"), held, ["donor", "other", "me"], "me")
+    later, past = "2024-05-01 12:00:30", "2024-05-01 11:59:00"
+    now = [("a", "me", later), ("b", "donor", past), ("c", "donor", later), ("e", "donor", past), ("d", "other", later), ("f", "donor", later), ("g", "donor", later), ("h", "other", later)]
+    leases_now = timed(spark.createDataFrame(now, "shard_id string, owner string, expires_at string"), "expires_at")
+    return ownership.rebalance_pass(spark, state, leases_now, 4, NOW_TIME, 20_000, 10.0)
+
+
+@query("SELECT * FROM (VALUES (0, 'acquire_unowned', 'd', '', 'skipped'), (1, 'acquire_unowned', 'e', '', 'moved')) AS v(action_no, kind, shard_id, donor, result)")
+def plan_executed(spark, sf_dir):
+    return _pass(spark)[0]
+
+
+@query("""SELECT * FROM (VALUES ('a', 'me', '12:00:30'), ('b', 'donor', '11:59:00'), ('c', 'donor', '12:00:30'), ('d', 'other', '12:00:30'), ('e', 'me', '12:00:20'), ('f', 'donor', '12:00:30'), ('g', 'donor', '12:00:30'), ('h', 'other', '12:00:30')) AS v(shard_id, owner, expires)""")
+def leases_after_pass(spark, sf_dir):
+    return _pass(spark)[1].select("shard_id", "owner", F.date_format("expires_at", "HH:mm:ss").alias("expires"))
+
+
+@query("SELECT * FROM (VALUES ('e', '12:00:10')) AS v(shard_id, until_)")
+def cooldown_after_pass(spark, sf_dir):
+    return _pass(spark)[2].select("shard_id", F.date_format("until", "HH:mm:ss").alias("until_"))
+
+
+@query("""SELECT * FROM (VALUES (0, 'claim_donor', 's1', 'rich', 'moved'), (1, 'claim_donor', 's2', 'rich', 'skipped')) AS v(action_no, kind, shard_id, donor, result)""")
+def plan_loses_a_race(spark, sf_dir):
+    held = {f"s{i}": "rich" for i in range(1, 7)}
+    state = ownership.Snapshot(sorted(held), held, ["rich", "third"], "me")
+    now = [(s, "third" if s == "s2" else "rich", "2024-05-01 12:00:30") for s in sorted(held)]
+    return ownership.rebalance_pass(spark, state, timed(spark.createDataFrame(now, "shard_id string, owner string, expires_at string"), "expires_at"), 3, NOW_TIME, 20_000, 10.0)[0]
+
+
+@query("""SELECT * FROM (VALUES (0, 'shed', 's1', '', 'moved'), (1, 'shed', 's3', '', 'skipped')) AS v(action_no, kind, shard_id, donor, result)""")
+def plan_sheds(spark, sf_dir):
+    held = {f"s{i}": "me" for i in range(6)}
+    state = ownership.Snapshot(sorted(held), held, ["me", "other", "third"], "me")
+    now = [(s, "other" if s == "s3" else "me", "2024-05-01 12:00:30") for s in sorted(held)]
+    return ownership.rebalance_pass(spark, state, timed(spark.createDataFrame(now, "shard_id string, owner string, expires_at string"), "expires_at"), 2, NOW_TIME, 20_000, 10.0, cooling={"s0"}, running={"s0", "s1", "s3", "s4"})[0]
+
+
+@query("SELECT CAST(share AS DOUBLE) AS share, (10 + 4 * share)::DOUBLE AS seconds FROM (VALUES (0.0), (0.5), (1.0)) AS v(share)")
+def rebalance_cadence(spark, sf_dir):
+    return spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "share double").select("share", ownership.next_pass(10.0, 4.0, F.col("share")).alias("seconds"))
+
+
 # ------------------------------------------------------------------ metrics
 
 
@@ -533,10 +594,64 @@ def idle_gauges(spark, sf_dir):
     return metrics.ownership_gauges(ownership.shares(ready.filter("false"), held, live, "w1"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{metrics.PREFIX}{n}', '{k}')" for k, names in (("c", metrics.COUNTERS), ("g", metrics.GAUGES), ("ms", metrics.TIMINGS)) for n in names) + ") AS v(name, type)")
-def metric_catalog(spark, sf_dir):
-    rows = [(metrics.PREFIX + n, k) for k, names in (("c", metrics.COUNTERS), ("g", metrics.GAUGES), ("ms", metrics.TIMINGS)) for n in names]
-    return spark.createDataFrame(rows, "name string, type string")
+@query("""SELECT 'kinesis_consumer.' || name AS name, shard_id, value FROM (SELECT CASE
+    WHEN op IN ('acquire', 'claim') AND ok THEN 'lease_acquired' WHEN op = 'renew' AND ok THEN 'lease_renewals' WHEN op = 'release' AND ok THEN 'lease_released' WHEN op IN ('renew', 'release') THEN 'lease_lost' END AS name, shard_id, count(*) AS value
+  FROM (VALUES ('acquire', 'a', true), ('acquire', 'a', false), ('claim', 'a', false), ('claim', 'a', true), ('renew', 'a', false), ('renew', 'a', true), ('renew', 'a', false), ('acquire', 'a', true),
+    ('acquire', 'b', true), ('release', 'b', false), ('release', 'b', true), ('acquire', 'b', true), ('acquire', 'b', false)) AS v(op, shard_id, ok) GROUP BY ALL) WHERE name IS NOT NULL""")
+def lease_counters(spark, sf_dir):
+    results = leases.fold(timed(frame(spark, "lease_ops"), "now"))
+    return metrics.lease_counters(results.withColumn("error", F.lit(None).cast("string")))
+
+
+@query("SELECT * FROM (VALUES ('kinesis_consumer.rebalance_moves', 'e', 'acquire', 1::BIGINT), ('kinesis_consumer.rebalance_skips', 'd', 'acquire', 1)) AS v(name, shard_id, kind, value)")
+def rebalance_counters(spark, sf_dir):
+    return metrics.rebalance_counters(_pass(spark)[0])
+
+
+EVENTS = [
+    ("read", "a", True, None, None), ("read", "a", True, None, None), ("read", "a", False, "throttle", None), ("read", "b", False, "expired", None), ("save", "a", True, None, None), ("save", "b", False, None, None),
+    ("heartbeat", None, True, None, None), ("heartbeat", None, False, None, None), ("rebalance", None, False, None, None), ("rebalance", None, True, None, None), ("sync", None, False, None, None), ("shard_end", "b", True, None, None),
+    ("worker_start", "a", True, None, None), ("worker_start", "b", True, None, None), ("worker_stop", "a", True, None, "error"), ("worker_stop", "b", True, None, "clean"), ("deregister", None, True, None, None), ("unknown", "a", True, None, None),
+]
+EVENT_COUNTS = [
+    ("pages_fetched", "a", None, None, 2), ("get_records_failures", "a", "throttle", None, 1), ("get_records_failures", "b", "expired", None, 1), ("checkpoints_saved", "a", None, None, 1), ("checkpoint_failures", "b", None, None, 1),
+    ("heartbeat_failures", None, None, None, 1), ("rebalance_pass_failures", None, None, None, 1), ("shard_sync_failures", None, None, None, 1), ("shards_completed", "b", None, None, 1), ("worker_starts", "a", None, None, 1),
+    ("worker_starts", "b", None, None, 1), ("worker_stops", "a", None, "error", 1), ("worker_stops", "b", None, "clean", 1), ("worker_deregistered", None, None, None, 1),
+]
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+@query(f"SELECT 'kinesis_consumer.' || name AS name, shard_id, kind, outcome, CAST(value AS BIGINT) AS value FROM (VALUES {_values(EVENT_COUNTS)}) AS v(name, shard_id, kind, outcome, value)")
+def event_counters(spark, sf_dir):
+    return metrics.event_counters(spark.createDataFrame(EVENTS, "event string, shard_id string, ok boolean, kind string, outcome string"))
+
+
+@query("""SELECT * FROM (VALUES ('kinesis_consumer.handler_duration', 'a', 1500.0::DOUBLE), ('kinesis_consumer.get_records_duration', 'a', 0.25), ('kinesis_consumer.checkpoint_save_duration', 'b', 3.0), ('kinesis_consumer.lease_acquire_duration', 'b', 10.0),
+  ('kinesis_consumer.rebalance_pass_duration', NULL, 250.0), ('kinesis_consumer.drain_duration', NULL, 60000.0)) AS v(name, shard_id, value)""")
+def operation_timings(spark, sf_dir):
+    spans = [("handler", "a", "00", "01.5"), ("read", "a", "00", "00.00025"), ("save", "b", "10", "10.003"), ("acquire", "b", "10", "10.01"), ("rebalance", None, "20", "20.25"), ("drain", None, "-", "-"), ("other", "a", "00", "01")]
+    rows = [(n, s, f"2024-05-01 12:00:{a}", f"2024-05-01 12:00:{b}") if n != "drain" else (n, s, "2024-05-01 12:00:00", "2024-05-01 12:01:00") for n, s, a, b in spans]
+    return metrics.timings(timed(spark.createDataFrame(rows, "span string, shard_id string, began string, ended string"), "began", "ended")).select("name", "shard_id", "value")
+
+
+@query(f"""WITH {outcome_sql(RECORD, 'skipped')}, c AS (SELECT 'records_processed' AS name, shard_id, count(*) FILTER (outcome = 'processed') AS v FROM o GROUP BY ALL UNION ALL SELECT 'records_skipped', shard_id, count(*) FILTER (outcome = 'skipped') FROM o GROUP BY ALL
+  UNION ALL SELECT 'handler_retries', shard_id, sum(attempts - 1) FROM o GROUP BY ALL UNION ALL SELECT 'pages_fetched', shard_id, count(DISTINCT page_no) FROM o GROUP BY ALL)
+SELECT 'kinesis_consumer.' || name || ':' || CAST(v AS BIGINT) || '|c|#stream:events,consumer_group:workers,policy:skip,shard:' || shard_id AS line FROM c WHERE v <> 0""")
+def tagged_counters(spark, sf_dir):
+    rows = outcome_rows(spark, sf_dir, RECORD_SKIP)
+    counters = metrics.shard_counters(rows, spark.createDataFrame([], "shard_id string"))
+    lines = metrics.tagged(counters, {"stream": STREAM, "consumer_group": GROUP, "policy": SKIP})
+    return lines.select(metrics.statsd_line(F.col("name"), F.col("type"), F.col("value"), F.map_entries("tags")).alias("line"))
+
+
+@query(f"""WITH {REC}, r AS (SELECT rec.*, (length(sequence_number), sequence_number) > CASE shard_id WHEN 'shardId-000000000000' THEN (3, '500') ELSE (0, '') END AS ahead FROM rec)
+SELECT 'kinesis_consumer.millis_behind_latest' AS name, shard_id, CAST(max(epoch_us(ts) // 1000) - coalesce(max(epoch_us(ts) // 1000) FILTER (NOT ahead), min(epoch_us(ts) // 1000)) AS DOUBLE) AS value FROM r GROUP BY shard_id""")
+def lag_gauges(spark, sf_dir):
+    stored = spark.createDataFrame([("shardId-000000000000", "500")], "shard_id string, checkpoint string")
+    return metrics.lag_gauges(positions.lag(source.from_events(spark, sf_dir), stored))
 
 
 LINES = ["kinesis_consumer.records_processed:12|c|#stream:orders,shard:a", "kinesis_consumer.owned_shards:3.5|g|#stream:orders", "kinesis_consumer.drain_duration:1500|ms", "kinesis_consumer.drain_duration:0.25|ms|#stream:a_b_c,shard:s:1", "kinesis_consumer.records_processed:123456789|c|#stream:x"]
@@ -600,6 +715,88 @@ def shard_lag(spark, sf_dir):
     return positions.lag(source.from_events(spark, sf_dir), stored)
 
 
+# ------------------------------------------------------------------ streams: runs over a log in the shared folder
+
+
+def _stream_run(spark, log: str, out: str, o: HandlerOptions, parts: tuple[str, ...] = (), **run) -> tuple[streaming.Run, object]:
+    reader = spark.readStream.format("shardlog").option("path", log).option("marks", "true").option("progress", f"{out}/progress")
+    for k, v in zip(parts[::2], parts[1::2]):
+        reader = reader.option(k, v)
+    r = streaming.Run(reader.load(), StreamConfig(GROUP, stream_name=STREAM), o, f"{out}/run", on_record=_no_error, sleep=_no_sleep, marks=True, **run)
+    q = r.start(f"{out}/checkpoint")
+    try:
+        q.processAllAvailable()
+        r.drain()
+    finally:
+        r.close()
+    return r, q
+
+
+def _no_error(row) -> None:
+    if b"fail" in (row.data or b""):
+        raise ValueError("poison")
+
+
+def _log(spark, name: str) -> tuple[str, str]:
+    source.register(spark)
+    root = shared_folder(spark, name)
+    return f"{root}/log", root
+
+
+@query(f"WITH {REC} SELECT shard_id, count(*) AS n, 'workers:events' AS identity, arg_max(sequence_number, (length(sequence_number), sequence_number)) AS checkpoint FROM rec GROUP BY shard_id")
+def stream_counts_restart(spark, sf_dir):
+    """Half of the log in one run, the rest in a second one on the same checkpoint; nothing is read twice."""
+    log, out = _log(spark, "stream-restart")
+    records = source.from_events(spark, sf_dir)
+    middle = records.count() // 2
+    o = options(RECORD, SKIP, batch_size=1_000)
+    source.export_log(records.filter(F.col("sequence_number").cast("long") <= middle), log)
+    _stream_run(spark, log, out, o)
+    source.export_log(records, log)
+    r, _ = _stream_run(spark, log, out, o)
+    counts = spark.read.parquet(f"{out}/run/outcomes").groupBy("shard_id").agg(F.count("*").alias("n"))
+    return counts.join(r.stored(spark), "shard_id").select("shard_id", "n", "identity", "checkpoint")
+
+
+@query(f"""WITH {REC} SELECT shard_id, count(*) AS n, CASE WHEN shard_id < 'shardId-000000000002' THEN 'SHARD_END:' ELSE '' END || arg_max(sequence_number, (length(sequence_number), sequence_number)) AS checkpoint,
+  shard_id >= 'shardId-000000000002' AS waited FROM rec GROUP BY shard_id""")
+def stream_parent_gating(spark, sf_dir):
+    """Shards 0 and 1 are closed, 2 is a half of 0 and 3 the merger of 0 and 1: children are read in batches after their parents'."""
+    log, out = _log(spark, "stream-gating")
+    a, b, c, d = _first_shards(4)
+    source.export_log(source.from_events(spark, sf_dir), log, closed=(a, b), parents={c: (a,), d: (a, b)})
+    r, _ = _stream_run(spark, log, out, options(RECORD, SKIP, batch_size=1_000))
+    rows = spark.read.parquet(f"{out}/run/outcomes").groupBy("shard_id").agg(F.count("*").alias("n"), F.min("epoch").alias("first"), F.max("epoch").alias("last"))
+    parents = rows.filter(F.col("shard_id") < c).agg(F.max("last").alias("ended")).withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(parents, "_one").join(r.stored(spark), "shard_id").select("shard_id", "n", "checkpoint", (F.col("first") > F.col("ended")).alias("waited"))
+
+
+@query(f"""WITH {REC}, m AS (SELECT CAST(ceil(count(*) / 20) AS BIGINT) AS m FROM rec), r AS (SELECT shard_id, sequence_number, row_number() OVER (PARTITION BY shard_id ORDER BY length(sequence_number), sequence_number) AS k, count(*) OVER (PARTITION BY shard_id) AS n, m FROM rec, m)
+SELECT shard_id, sequence_number AS value FROM r WHERE k % (3 * m) = 0 OR k = n""")
+def stream_cadence(spark, sf_dir):
+    """Batches of one page a shard; the count goes on over batches, and a tip is saved."""
+    log, out = _log(spark, "stream-cadence")
+    records = source.from_events(spark, sf_dir)
+    page = -(-records.count() // 20)
+    source.export_log(records, log)
+    _stream_run(spark, log, out, options(RECORD, SKIP, batch_size=min(page, 10_000), checkpoint_every=2 * page + 1), ("maxRecordsPerShardPerBatch", str(page)))
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/run/saves").select("shard_id", "value")
+
+
+def _publisher(row) -> None: ...
+
+
+@query(f"""WITH {REC}, c AS (SELECT user_id % 4 AS s, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) SELECT 'shardId-' || lpad(CAST(s AS VARCHAR), 12, '0') AS shard_id, n AS published, CAST(n AS BIGINT) AS attempts FROM c""")
+def stream_dead_letters(spark, sf_dir):
+    log, out = _log(spark, "stream-dlq")
+    r = source.from_events(spark, sf_dir)
+    source.export_log(r.withColumn("data", F.when(F.col("poison"), F.lit("fail").cast("binary")).otherwise(F.lit("fine").cast("binary"))), log)
+    _stream_run(spark, log, out, options(RECORD, SEND_TO_DLQ, batch_size=1_000), publisher=_publisher)
+    poison, answered = spark.read.parquet(f"{out}/run/dlq"), spark.read.parquet(f"{out}/run/published")
+    rows = answered.filter("publish_error is null").join(poison.select("idempotency_key", "shard_id"), "idempotency_key")
+    return rows.groupBy("shard_id").agg(F.count("*").alias("published"), F.sum("publish_attempts").alias("attempts"))
+
+
 # ------------------------------------------------------------------ extension
 
 

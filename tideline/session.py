@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,6 +22,22 @@ def share_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([*paths, ROOT])
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; below a temporary one only where that is unset on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="tideline-")
+        root = _LOCAL_ROOTS[app]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": str(cpus),
