@@ -12,18 +12,19 @@ on: text and end of assistant turns; headers and other roles are masked.
 
 Groups are of one pair and ``SEGMENT`` turn numbers, so that a conversation of any length
 is rendered in pieces of bounded length, one row each (``segment`` 0 holds all of nearly
-every conversation; spans count from the segment's start).
+every conversation); spans count from the start of the whole completion, that is of the
+pieces of all segments one after the other.
 
 A null turn counts as -1, null roles and texts are empty, rows that repeat within a
-conversation count once, and several rows of one turn are ordered by role and text.  Rows
-with a null pair form one pair.  If one side is missing, its completion is empty; if both
+conversation count once, and several rows of one turn are ordered by role and text.  A row
+with a null pair belongs to none: each such row that differs is a pair of one turn.  If one side is missing, its completion is empty; if both
 sides are alike, all is prompt and ``differs`` is false.  An empty table gives an empty
 table.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -42,19 +43,29 @@ def format_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``rows``: pair_id, turn, role, text, chosen and rejected (whether the side has the row)."""
     flags = rows.groupBy("pair_id", "turn", "role", "text").agg(F.max("chosen").alias("chosen"), F.max("rejected").alias("rejected"))
     flags = scratch.keep(flags, "turns")
-    parts = flags.filter(~(F.col("chosen") & F.col("rejected"))).groupBy("pair_id").agg(F.min("turn").alias("parted"))
+    alone = F.col("pair_id").isNull()
+    parts = flags.filter(~(F.col("chosen") & F.col("rejected")) & ~alone).groupBy("pair_id").agg(F.min("turn").alias("parted"))
     parts = scratch.keep(parts.withColumnRenamed("pair_id", "p"), "parts")
-    known = flags.join(parts, F.col("pair_id").eqNullSafe(F.col("p")), "left")
+    known = flags.join(parts, F.col("pair_id") == F.col("p"), "left")
+    parted = F.when(alone, F.when(~(F.col("chosen") & F.col("rejected")), F.col("turn"))).otherwise(F.col("parted"))
+    known = known.withColumns({"parted": parted, "segment": F.floor(F.col("turn") / SEGMENT), "lone": F.when(alone, F.struct("turn", "role", "text"))})
     common = F.col("parted").isNull() | (F.col("turn") < F.col("parted"))
     row = F.struct("turn", "role", "text", common.alias("common"), "chosen", "rejected")
-    grouped = known.groupBy("pair_id", F.floor(F.col("turn") / SEGMENT).alias("segment")).agg(F.sort_array(F.collect_list(row)).alias("t"), F.max(F.col("parted").isNotNull()).alias("differs"))
+    grouped = known.groupBy("pair_id", "segment", "lone").agg(F.sort_array(F.collect_list(row)).alias("t"), F.max(F.col("parted").isNotNull()).alias("differs"))
+
+    # what a later segment's spans begin at: the sizes of the segments before
+    size = F.length("role") + F.length("text") + F.lit(len("<||>\n") + len(END_MARK))
+    sizes = known.filter(~common & ~alone).groupBy(F.col("pair_id").alias("p"), F.col("segment").alias("g")).agg(*[F.sum(F.when(F.col(c), size).otherwise(0)).alias(c) for c in ("chosen", "rejected")])
+    before = Window.partitionBy("p").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("p", "g", *[F.sum(c).over(before).alias(f"{c}_base") for c in ("chosen", "rejected")]).filter("chosen_base is not null")
+    grouped = grouped.join(bases, (F.col("pair_id") == F.col("p")) & (F.col("segment") == F.col("g")), "left")
 
     head = lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"))
     body = lambda x: F.concat(x["text"], F.lit(END_MARK))
     render = lambda a: F.array_join(F.transform(a, lambda x: F.concat(head(x), body(x))), "")
 
-    def spans(a):
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("s"))
+    def spans(a, base):
+        start = F.struct(F.coalesce(base, F.lit(0)).cast("long").alias("at"), F.array().cast("array<string>").alias("s"))
 
         def step(acc, x):
             first, size = acc["at"] + F.length(head(x)), F.length(body(x))
@@ -67,7 +78,7 @@ def format_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     prompt = F.filter("t", lambda x: x["common"])
     return grouped.select(
         "pair_id", "segment", "differs", F.size(prompt).cast("long").alias("prompt_turns"), render(prompt).alias("prompt"),
-        render(side["chosen"]).alias("chosen"), spans(side["chosen"]).alias("chosen_spans"), render(side["rejected"]).alias("rejected"), spans(side["rejected"]).alias("rejected_spans"),
+        render(side["chosen"]).alias("chosen"), spans(side["chosen"], F.col("chosen_base")).alias("chosen_spans"), render(side["rejected"]).alias("rejected"), spans(side["rejected"], F.col("rejected_base")).alias("rejected_spans"),
     )
 
 
@@ -106,16 +117,16 @@ flags AS (
 parts AS (SELECT pair_id, min(turn) AS parted FROM flags WHERE NOT (ch AND rj) GROUP BY pair_id),
 known AS (
   SELECT f.*, CAST(floor(f.turn / 1024) AS BIGINT) AS segment, p.parted IS NOT NULL AS differs, p.parted IS NULL OR f.turn < p.parted AS common,
-    '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
-  FROM flags f LEFT JOIN parts p ON f.pair_id IS NOT DISTINCT FROM p.pair_id),
+    CASE WHEN f.pair_id IS NULL THEN row_number() OVER (ORDER BY f.pair_id, f.turn, role, text) END AS lone, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
+  FROM flags f LEFT JOIN parts p ON f.pair_id = p.pair_id),
 placed AS (
   SELECT *, coalesce(sum(CASE WHEN ch AND NOT common THEN length(head || body) END) OVER w, 0) AS ca, coalesce(sum(CASE WHEN rj AND NOT common THEN length(head || body) END) OVER w, 0) AS ra
-  FROM known WINDOW w AS (PARTITION BY pair_id, segment ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  FROM known WINDOW w AS (PARTITION BY pair_id, lone ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT pair_id, segment, bool_or(differs) AS differs, count(*) FILTER (common) AS prompt_turns,
   coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (common), '') AS prompt,
   coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (ch AND NOT common), '') AS chosen,
   coalesce(string_agg((ca + length(head)) || ':' || length(body), ',' ORDER BY turn, role, text) FILTER (ch AND NOT common AND role = 'assistant'), '') AS chosen_spans,
   coalesce(string_agg(head || body, '' ORDER BY turn, role, text) FILTER (rj AND NOT common), '') AS rejected,
   coalesce(string_agg((ra + length(head)) || ':' || length(body), ',' ORDER BY turn, role, text) FILTER (rj AND NOT common AND role = 'assistant'), '') AS rejected_spans
-FROM placed GROUP BY pair_id, segment
+FROM placed GROUP BY pair_id, segment, lone
 """
