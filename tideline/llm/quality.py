@@ -32,7 +32,7 @@ _CLASS[[32, 9, 11, 12, 13]], _CLASS[10], _CLASS[:9], _CLASS[14:32] = 3, 4, 5, 5
 _MARKS = b".,!?|*#$%&<>{}()[]=_-\"'/\\@:;"  # marks counted one by one
 STATISTICS = [
     *(f"share_{c}" for c in ("lower", "upper", "digit", "blank", "line_end", "mark", "wide")), "log_bytes", "log_words", "word_length", "word_deviation", "long_words",
-    "distinct_words", "repeated_pairs", "same_as_before", "first_upper", "end_mark", "line_bytes", "share_longest_run", *(f"mark_{m}" for m in _MARKS),
+    "distinct_words", "distinct_pairs", "same_as_before", "first_upper", "end_mark", "line_bytes", "share_longest_run", *(f"mark_{m}" for m in _MARKS),
 ]
 
 
@@ -61,7 +61,8 @@ def statistics(array: pa.Array) -> np.ndarray:
         out[:, 10] = np.sqrt(np.maximum(per(length**2) - mean**2, 0))
         out[:, 11] = per(length > 12)
         h = hash_spans(_LOWER[data], starts, ends)
-        for column, keys, where in ((12, h, doc), (13, h[:-1] * np.uint64(31) + h[1:], doc[1:])):
+        inner = doc[1:] == doc[:-1]
+        for column, keys, where in ((12, h, doc), (13, (h[:-1] * np.uint64(31) + h[1:])[inner], doc[1:][inner])):
             order = np.lexsort((keys, where))
             k, w = keys[order], where[order]
             new = np.ones(len(k), bool)
