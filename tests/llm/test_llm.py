@@ -6,10 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -122,6 +124,35 @@ def test_token_output_round_trip(spark, hard):
     assert sorted({r.doc_id for r in some.collect()}) == [4, 5, 6]
 
 
+def test_files_are_delta_encoded_with_page_indexes(spark):
+    rows = [(i, " ".join(rnd.choice(VOCABULARY) for _ in range(40))) for i in range(6_000)]
+    scratch = Scratch(spark, "t")
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch, queries.tokenizer_path())
+    files = sorted(Path(scratch.path.removeprefix("file:") + "/tokens").glob("part-*.parquet"))
+    assert files
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 2 * tokens.ROW_GROUP_BYTES
+            for i in range(group.num_columns):
+                c = group.column(i)
+                assert c.has_column_index and c.has_offset_index, c.path_in_schema
+                delta = "DELTA_BINARY_PACKED" in c.encodings
+                assert delta if c.path_in_schema.startswith("tokens") else delta or any("DICTIONARY" in e for e in c.encodings), (c.path_in_schema, c.encodings)
+
+
+def test_repeated_ids_are_dealt_to_several_tasks(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, f"text {i % 5}") for i in range(3_000)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written = tokens.write_tokens(docs, Scratch(spark, "t"), queries.tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_stream(docs.collect(), tokens.crc_of_ids(tokens.stream_starts(written)).collect())
+    assert max(r["count"] for r in written.groupBy("part").count().collect()) < 2_000
+
+
 def test_token_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     check_stream(docs, queries.op1_token_output(spark, SF).collect())
@@ -159,6 +190,14 @@ def test_decontamination_matches_brute_force(spark, hard):
 # ------------------------------------------------------------------ 3 language model
 
 
+def test_repetitive_texts_against_long_repetitive_items():
+    index = decontaminate.Index(["a", "b"], ["und " * 10_000, "und " * 9 + "oder"])
+    for text, n_hit, items in (("und " * 100_000, 100_000, {0}), ("und " * 9, 0, set()), ("x " + "und " * 9 + "oder", 10, {1}), ("und " * 12 + "oder x", 13, {0, 1})):
+        w, firsts = word_hashes(pa.array([text]), ALNUM)
+        hit, pairs = index.hits(w, firsts)
+        assert hit.sum() == n_hit and {i for _, i in pairs.tolist()} == items
+
+
 def test_base_scores_and_model(spark, hard, monkeypatch):
     monkeypatch.setattr(brown, "HEAD", 5)  # so that nearly all words go the way of those beyond the head
     got = brown.score(hard, Scratch(spark, "t")).collect()
@@ -313,6 +352,41 @@ def test_shards(spark, hard):
 # ------------------------------------------------------------------ 5 quality, 8 language
 
 
+def test_statistics_match_plain_counts():
+    texts = [*TEXTS, "a b a b a b", "Only. Two!", "x" * 13 + " y", "a  b\nc\n\nd", "und und Und"]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    for t, row in zip(texts, got):
+        raw = (t or "").encode()
+        n, w = max(len(raw), 1), solid(t)
+        k, lengths = max(len(w), 1), [len(x.encode()) for x in w]
+        of = [sum(f(b) for b in raw) / n for f in (
+            lambda b: 97 <= b <= 122, lambda b: 65 <= b <= 90, lambda b: 48 <= b <= 57, lambda b: b in (32, 9, 11, 12, 13), lambda b: b == 10, lambda b: b < 128 and not chr(b).isalnum() and b not in (9, 10, 11, 12, 13, 32, 127), lambda b: b >= 128)]
+        lows = [low(x) for x in w]
+        mean = sum(lengths) / k
+        rest = [
+            math.log1p(len(raw)), math.log1p(len(w)), mean, math.sqrt(max(sum(x * x for x in lengths) / k - mean**2, 0)), sum(x > 12 for x in lengths) / k, len(set(lows)) / k, len(set(zip(lows, lows[1:]))) / k,
+            sum(a == b for a, b in zip(lows, lows[1:])) / k, sum("A" <= x[0] <= "Z" for x in w) / k, sum(x[-1] in map(chr, range(33, 127)) and not x[-1].isalnum() for x in w) / k, math.log1p(len(raw) / (raw.count(b"\n") + 1)), max(lengths, default=0) / n,
+        ]
+        marks = [raw.count(bytes([m])) / n for m in quality._MARKS]
+        assert np.allclose(row, [*of, *rest, *marks], atol=1e-4), (t, list(zip(quality.STATISTICS, row, [*of, *rest, *marks])))
+
+
+def test_forest_matches_a_walk_through_its_trees():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < 0)).astype(float)
+    forest = quality.train(x, y)
+    for row, score in zip(x[:40], forest.score(x)):
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + 2 if row[feature[node]] > threshold[node] else 2 * node + 1
+            total += leaf[node - (2**quality.DEPTH - 1)]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+    assert ((forest.score(x) >= 0.5) == y).mean() > 0.95
+
+
 def test_quality(spark, hard):
     truth = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = queries.op5_quality(spark, "/root/testdata/sf0.01").collect()
@@ -325,6 +399,34 @@ def test_quality(spark, hard):
     assert {r.score for r in got} == {0.5}
 
 
+def test_subwords_match_plain_grams():
+    """Every word, and every two and three bytes within a word; one bucket for one subword."""
+    def keys(text):
+        k, doc = langid.subwords(pa.array([text]))
+        assert not doc.any()
+        return k.tolist()
+
+    runs = lambda t: re.findall(b"[a-z\x80-\xff]+", low(t).encode())
+    bucket = {}
+
+    def gram(g):  # the bucket of two or three bytes, from a text of its own, in whatever order its subwords come
+        if g not in bucket:
+            text = g.decode("latin-1") if g.isascii() else None
+            bucket[g] = None if text is None else (set(keys(text)), len(keys(text)))
+        return bucket[g]
+
+    for t in ["The cat, the dog", "a", "ab", "abc x-yz", "ABC abc", "12 34", "straße zu", ""]:
+        words_, got = runs(t), keys(t)
+        assert len(got) == sum(1 + max(0, len(w) - 1) + max(0, len(w) - 2) for w in words_)
+        for w in words_:
+            for g in [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]:
+                if gram(g):
+                    assert gram(g)[0] & set(got)
+    assert Counter(keys("ab ab")) == Counter({k: 2 * n for k, n in Counter(keys("ab")).items()})
+    both, doc = langid.subwords(pa.array(["one two", "two"]))
+    assert sorted(both[doc == 1].tolist()) == sorted(keys("two")) and sorted(both[doc == 0].tolist()) == sorted(keys("one two"))
+
+
 def test_language(spark, hard):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
@@ -552,7 +654,7 @@ def test_mix_of_hard_rows(spark, hard):
 def test_preference_on_hard_rows(spark):
     rows = [
         (0, 0, "system", "s"), (0, 1, "user", "hé"), (0, 2, "assistant", "A"), (0, 3, "user", "trail"), (1, 0, "user", "x"), (1, 1, "assistant", "B"), (1, 1, "assistant", "B"), (2, 0, "user", "alone"),
-        (3, 0, None, None), (4, None, "assistant", ""), (None, 0, "assistant", "lost"), (6, 0, "assistant", "same"), (7, 0, "assistant", "same"), (8, 5, "assistant", "one"), (8, 5, "assistant", "two"), (9, 2000, "assistant", "far"), (9, 1, "user", "near"),
+        (3, 0, None, None), (4, None, "assistant", ""), (None, 0, "assistant", "lost"), (None, None, "user", "lost"), (None, None, "user", "lost"), (None, None, "user", "also lost"), (10, 1, "assistant", "early"), (10, 5000, "assistant", "late"), (10, 3000, "user", "between"), (11, 0, "assistant", "other"), (6, 0, "assistant", "same"), (7, 0, "assistant", "same"), (8, 5, "assistant", "one"), (8, 5, "assistant", "two"), (9, 2000, "assistant", "far"), (9, 1, "user", "near"),
     ]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
     got = preference.format_pairs(preference.swapped_replies(df, Scratch(spark, "t")), Scratch(spark, "t"))
@@ -576,6 +678,16 @@ def test_pairs_of_two_tables(spark):
     assert got[1].rejected_spans == "14:11" and got[2].rejected == "" and got[2].differs
 
 
+def test_spans_of_long_completions_are_absolute(spark):
+    chosen = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"turn {t} é") for t in range(0, 5000, 7)], "pair_id long, turn long, role string, text string")
+    rejected = spark.createDataFrame([(1, 14, "assistant", "no")], chosen.schema)
+    got = sorted(preference.preference_pairs(chosen, rejected, Scratch(spark, "t")).collect(), key=lambda r: r.segment)
+    assert len(got) == 5
+    whole = "".join(r.chosen for r in got)
+    spans = [tuple(map(int, x.split(":"))) for r in got for x in r.chosen_spans.split(",") if x]
+    assert [whole[a : a + n] for a, n in spans] == [f"turn {t} é<|end|>\n" for t in range(0, 5000, 7) if t % 2]
+
+
 def test_preference_of_empty_tables(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert preference.format_pairs(preference.swapped_replies(none, Scratch(spark, "t")), Scratch(spark, "t")).count() == 0
@@ -676,6 +788,40 @@ def test_empty_tables(spark, empty):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+def test_pipeline_on_hard_rows_and_an_empty_table(spark, hard, tmp_path):
+    import corpus_pipeline
+
+    rows = [(*r[:2], "de" if i % 2 else "en", *r[3:]) for i, r in enumerate(rows_of([*TEXTS, *[f"these are plain words number {i} of a clean text that anyone may read in some language {i * 7}" for i in range(60)]]))]
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [("1", PASSAGE), ("2", None), (None, "")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    scratch, docs = Scratch(spark, "t"), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = scratch.keep(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == docs.columns
+        was, now = [tuple(r) for r in docs.collect()], [tuple(r) for r in out.collect()]
+        assert {r[:2] for r in now} <= {r[:2] for r in was}
+        if name == "near_duplicates":
+            label = brute_classes([(i, r[1]) for i, r in enumerate(was)], counted=True)
+            wordless = [not words(r[1]) for r in was]
+            assert len(now) == len({*(x for x, w in zip(label, wordless) if not w)}) + sum(wordless)
+        if name == "decontamination":
+            assert sorted(map(str, now)) == sorted(str(r) for r in was if not brute_hits(r[1], items[:1])[4])
+        if name == "mixture":
+            names = sorted({r[3] for r in was}, key=lambda s: (s is None, s or ""))
+            sizes = [sum(len(solid(r[1])) for r in was if r[3] == s) for s in names]
+            for s, target in zip(names, fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])):
+                longest = max(len(solid(r[1])) for r in was if r[3] == s)
+                assert abs(sum(len(solid(r[1])) for r in now if r[3] == s) - target) <= 3 * longest, s
+        docs = out
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in final) == sorted(str(r.doc_id) for r in docs.collect())
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
