@@ -352,6 +352,17 @@ def test_shards(spark, hard):
 # ------------------------------------------------------------------ 5 quality, 8 language
 
 
+def test_written_shards_hold_whole_documents_in_slot_order(spark, hard, tmp_path):
+    got = sharding.write_shards(hard, Scratch(spark, "t"), str(tmp_path / "shards"), shards=3, slots_in_file=4)
+    rows = got.collect()
+    assert sorted(str([r[c] for c in hard.columns]) for r in rows) == sorted(str([r[c] for c in hard.columns]) for r in hard.collect())
+    place = Counter((r.doc_id, len((r.text or "").encode()) + 1, r._shard, r._slot) for r in rows)
+    assert place == Counter((r.doc_id, r.size, r.shard, r.slot) for r in sharding.shard_rows(hard, Scratch(spark, "t"), shards=3).collect())
+    for f in (tmp_path / "shards").glob("*/*.parquet"):
+        slots = pq.ParquetFile(f).read(columns=["_slot"]).column(0).to_pylist()
+        assert slots == sorted(slots)
+
+
 def test_statistics_match_plain_counts():
     texts = [*TEXTS, "a b a b a b", "Only. Two!", "x" * 13 + " y", "a  b\nc\n\nd", "und und Und"]
     got = quality.statistics(pa.array(texts, pa.string()))
@@ -639,6 +650,22 @@ def test_whole_documents_of_any_id_come_near_the_targets(spark, kind):
         assert abs(taken - size * w / 8) < 0.05 * size * w / 8 + 40, s
 
 
+def test_whole_documents_are_those_whose_first_words_are_taken(spark, hard):
+    r = random.Random(8)
+    docs = [(i, " w" * r.choice([0, 1, 3, 40]), r.choice(["a", "b", "c", None, "d"])) for i in range(400)]
+    df = spark.createDataFrame([*docs, *docs[:5]], "doc_id long, text string, source string")
+    for table in (df, hard):
+        passes = Counter()
+        for x in mixing.mix(table, Scratch(spark, "t")).collect():
+            passes[x.doc_id, x.key, x.passes] += 1
+        want = Counter()
+        for i, key in {(i, k) for i, k, _ in passes}:
+            same = [(p, n) for (a, b, p), n in passes.items() if (a, b) == (i, key)]
+            want[i] += max(p for p, _ in same) * sum(n for _, n in same)
+        got = Counter(x.doc_id for x in mixing.mix_documents(table, Scratch(spark, "t")).collect())
+        assert got == +want
+
+
 def test_mix_of_hard_rows(spark, hard):
     got = mixing.mix(hard, Scratch(spark, "t")).collect()
     assert sorted(r.size for r in got) == sorted(len(solid(r.text)) for r in hard.collect())

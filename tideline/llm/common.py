@@ -78,12 +78,25 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[key]
 
 
+_WRITTEN: dict[str, list] = {}  # by application: scratch folders
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application; results that still read them must have been written before."""
+    for scratch in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        scratch.drop("")
+
+
 class Scratch:
-    """Tables written to the shared folder and read back: a cut in the lineage that outlives executors."""
+    """Tables written to the shared folder and read back: a cut in the lineage that outlives executors.
+
+    A result may read them as long as it lives, so they stay until they are dropped, or until ``clean``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.names = spark, set()
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def keep(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         self.names.add(name)
@@ -92,7 +105,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
             self.names.discard(name)
 

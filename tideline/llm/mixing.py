@@ -168,10 +168,19 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, block: int
 
 
 def mix_documents(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS) -> DataFrame:
-    """The documents of the mix, whole: each as often as the block of its first word is taken."""
-    counts = mix(docs, scratch, weights).filter("passes > 0").groupBy(F.col("key").alias("__mix_key")).agg(F.max("passes").alias("__mix_n"))
-    counts = scratch.keep(counts, "passes")
-    scratch.drop_all_but("passes")
-    same = document_key(docs) == F.col("__mix_key")
-    turns = docs.join(counts, same).withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    """The documents of the mix, whole: each as often as the block of its first word is taken.
+
+    A source's slots go through its stream in whole passes and then once more from its
+    beginning, and the stream is in the order of keys.  So of each source all documents up
+    to some key are taken once more often than those after it, and the decisions that the
+    mix has made are handed to the documents as one row per source: texts are not shuffled.
+    """
+    levels = mix(docs, scratch, weights).filter("size > 0").groupBy("source", "passes").agg(F.max("key").alias("last"))
+    levels = levels.groupBy(F.col("source").alias("__mix_source")).agg(F.max("passes").alias("__mix_top"), F.max_by("last", "passes").alias("__mix_last"), F.min("passes").alias("__mix_rest"))
+    levels = scratch.keep(levels, "levels")
+    scratch.drop_all_but("levels")
+    times = F.when(document_key(docs) <= F.col("__mix_last"), F.col("__mix_top")).otherwise(F.col("__mix_rest"))
+    has_words = docs["text"].cast("string").rlike(r"[^\x20\x09-\x0D]")
+    turns = docs.filter(has_words).join(levels, docs["source"].cast("string").eqNullSafe(F.col("__mix_source")))
+    turns = turns.withColumn("__mix_times", times).filter("__mix_times > 0").withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
     return turns.select(*[column(c) for c in docs.columns])

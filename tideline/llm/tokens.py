@@ -16,8 +16,8 @@ and gathers ids by piece; a text that holds an added token's string goes through
 library as a whole.  Pieces are told apart by a 64-bit hash.
 
 Null and empty texts give just the end id.  A null ``doc_id`` comes first, and rows that
-tie in ``doc_id`` are ordered by the beginnings of their texts, then by a hash.  Ranges
-may cut such ties, even rows that repeat as a whole, so that none is bound to one task.
+tie in ``doc_id`` are ordered by the beginnings of their texts, then by a hash; ranges
+may cut such ties, so that only rows that repeat as a whole share a task.
 An empty table gives an empty table.  Further columns are ignored.
 """
 
@@ -196,8 +196,8 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int
             before += int(offsets[-1])
 
     text = F.col("text").cast("string")
-    order = ["doc_id", "head", "hash", "row"]
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.left(text, F.lit(64)).alias("head"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "head", "hash"]
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.left(text, F.lit(64)).alias("head"), F.xxhash64(text).alias("hash"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return scratch.keep(map_arrow(ordered, encode, SCHEMA), name, **WRITER)
 
