@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm import audio, brown, decontaminate, langid, mixing, neardup, preference, quality, queries, sharding, tokens
-from tideline.llm.common import ALNUM, SOLID, Scratch, find_words, running_sums, shingles, text_bytes, word_hashes
+from tideline.llm.common import ALNUM, SOLID, Scratch, cut_long, find_words, running_sums, shingles, text_bytes, word_hashes
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, node long, `_key` long, `a.b` string, part int, size string, class_id string"
@@ -81,6 +81,30 @@ def test_slices_of_arrays_keep_their_texts():
     assert len(find_words(*text_bytes(pa.array([], pa.string())), ALNUM)[0]) == 0 and len(shingles(np.zeros(2, np.uint64), 5)) == 0
 
 
+def test_long_texts_are_cut_between_words():
+    r = random.Random(2)
+    long = " ".join(r.choice(VOCABULARY) for _ in range(300_000)) + " " + "x" * 1_200_000 + " end " + "é" * 400_000 + " tail"
+    array = pa.array(["short one", long, None, "", "a b"], pa.string())
+    for may_cut in (tokens._before_word, langid._after_word):
+        pieces, firsts = cut_long(array, may_cut)
+        got = pieces.to_pylist()
+        assert len(got) > 5 and firsts.tolist()[0] == 0 and firsts[-1] == len(got)
+        assert ["".join(got[a:b]) for a, b in zip(firsts, firsts[1:])] == [t or "" for t in array.to_pylist()]
+        assert max(map(len, got)) < 1_800_000
+    coder = tokens.Encoder(queries.tokenizer_path())
+    one, two = coder.encode(array), coder._encode(array)
+    assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1])
+    assert cut_long(array.slice(2), tokens._before_word)[0].to_pylist() == [None, "", "a b"]
+
+
+def test_rejection_gives_up_what_is_mostly_wrong():
+    scores = np.array([0.3, 0.35, 0.4, 0.5, 0.5, 0.9, 0.95])
+    assert langid.rejection(scores, np.array([False, True, False, False, True, True, True])) == np.nextafter(0.3, 2)
+    assert langid.rejection(scores, np.array([True, False, False, False, True, True, True])) == np.nextafter(0.4, 2)
+    assert langid.rejection(scores, np.ones(7, bool)) == 0 and langid.rejection(np.zeros(0), np.zeros(0, bool)) == 0
+    assert langid.rejection(np.array([0.4, 0.4]), np.array([False, True])) == 0  # equal scores share their fate
+
+
 def test_running_sums(spark):
     df = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as k", "cast(if(id % 10 = 0, null, id) as long) as v").repartition(7)
     got = sorted(running_sums(df, ["k"], {"before": "v"}, Scratch(spark, "t"), "t").collect(), key=lambda r: r.k)

@@ -210,6 +210,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = to
 
 
+def cut_long(array: pa.Array, may_cut: Callable[[np.ndarray], np.ndarray], most: int = SLICE_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """The texts with those of more than ``most`` bytes cut into pieces, and the first piece of each text (and their number).
+
+    ``may_cut`` tells for bytes which of them, but the first and the last, may begin a piece; where none may, a piece gets longer.
+    """
+    data, offsets = text_bytes(array)
+    long = np.flatnonzero(np.diff(offsets) > most)
+    if not len(long):
+        return array, np.arange(len(array) + 1)
+    edges = [offsets]
+    for i in long:
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while end - at > most:
+            lo, hi = at, min(at + most, end)
+            found = np.flatnonzero(may_cut(data[lo:hi])) + lo
+            while not len(found[found > at]) and hi < end:
+                lo, hi = hi - 2, min(hi + most, end)
+                found = np.flatnonzero(may_cut(data[lo:hi])) + lo
+            found = found[found > at]
+            if not len(found):
+                break
+            at = int(found[-1] if hi == min(at + most, end) else found[0])
+            edges.append(np.array([at]))
+    cut = np.sort(np.concatenate(edges), kind="stable")
+    pieces = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)])
+    inner = np.sort(np.concatenate([e for e in edges[1:]])) if len(edges) > 1 else np.zeros(0, np.int64)
+    return pieces, np.arange(len(offsets)) + np.searchsorted(inner, offsets)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 ALNUM = np.zeros(256, bool)  # a-z, 0-9 and all that is not ASCII

@@ -4,11 +4,12 @@ A text's subwords are its words (A-Z in lower case) and, within them, all runs o
 ``GRAMS`` bytes; each is hashed into ``BUCKETS`` rows of an embedding table.  The mean of
 a text's rows goes through a linear layer and a softmax.  Both are trained in numpy by
 stochastic gradient descent on at most ``MOST_TRAINING`` documents, those of the least
-hashes; a fifth of these only calibrates the temperature and the score below which a
-prediction is rejected: the one that rejects ``REJECT`` of calibration rows, but never
-above ``SURE``, so that what is likelier right than wrong stays.
-For scoring, the product of table and layer is folded into one table of logits, so each
-subword costs one lookup and each text one mean.
+hashes; a fifth of these only calibrates.  It sets the temperature, with which the score
+is the probability that a prediction is right, and the score below which predictions are
+rejected: below it wrong ones are likelier than right ones, by that probability (one
+half) or by the calibration rows, where wrong ones outnumber right ones.  For scoring, the
+product of table and layer is folded into one table of logits, so each subword costs one
+lookup and each text one mean; a long text is taken in pieces, between words.
 
 A text that is null or has no letter is ``und`` with score 0, and is rejected.  Without
 training rows everything is ``und``.  Repeated documents each get their row.  Further
@@ -25,17 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, Carried, find_words, hash_spans, map_arrow, mix, remainder, slices, text_bytes
+from .common import _LOWER, Carried, cut_long, find_words, hash_spans, map_arrow, mix, remainder, slices, text_bytes
 
 ALPHABET = np.zeros(256, bool)  # bytes of words: a-z and all that is not ASCII
 ALPHABET[97:123] = ALPHABET[128:] = True
 
 BUCKETS, WIDTH, GRAMS = 1 << 14, 16, (2, 3)
-MOST_TRAINING, EPOCHS, BATCH, RATE, REJECT = 4_000, 12, 64, 0.5, 0.002
-SURE = 0.5
+MOST_TRAINING, EPOCHS, BATCH, RATE = 4_000, 12, 64, 0.5
+EVEN = 0.5  # a calibrated score below it is likelier wrong than right
 UNKNOWN = "und"
 
 
+def _after_word(data: np.ndarray) -> np.ndarray:
+    """Where no word goes on: after a byte that is not a word's."""
+    out = np.zeros(len(data), bool)
+    out[1:] = ~ALPHABET[_LOWER[data[:-1]]] & ((data[1:] & 0xC0) != 0x80)
+    return out
+
+
 def subwords(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all subwords of the texts, and the text of each."""
     data, offsets = text_bytes(array)
@@ -68,11 +76,13 @@ class Model:
     def __init__(self, langs: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float = 1.0, floor: float = 0.0):
         self.langs, self.logits, self.bias, self.temperature, self.floor = langs, logits, bias, temperature, floor
 
-    def predict(self, keys: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """The index of the likeliest language of each text, and its probability."""
-        total = np.stack([np.bincount(doc, weights=column[keys], minlength=n_docs) for column in np.ascontiguousarray(self.logits.T)], 1)
-        count = np.maximum(np.bincount(doc, minlength=n_docs), 1)
-        p = _softmax((total / count[:, None] + self.bias) * self.temperature)
+    def sums(self, keys: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        """The logits of each text's subwords, added up."""
+        return np.stack([np.bincount(doc, weights=column[keys], minlength=n_docs) for column in np.ascontiguousarray(self.logits.T)], 1)
+
+    def predict(self, total: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the likeliest language of each text, and its probability, from its sums and the number of its subwords."""
+        p = _softmax((total / np.maximum(count, 1)[:, None] + self.bias) * self.temperature)
         best = p.argmax(1)
         return best, p[np.arange(len(p)), best]
 
@@ -82,7 +92,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], reject: float = REJECT) -> Model | None:
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model | None:
     """``rows``: a text's buckets, their shares, and its language."""
     langs = sorted({lang for _, _, lang in rows})
     if not langs:
@@ -116,12 +126,22 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], reject: float = REJECT
     right = target[check]
     loss = {t: -np.log(np.maximum(_softmax(z * t)[np.arange(len(check)), right], 1e-12)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)}
     model.temperature = min(loss, key=loss.get)
-    scores = np.sort(_softmax(z * model.temperature).max(1))
-    model.floor = min(float(scores[int(len(scores) * reject)]), SURE)
+    p = _softmax(z * model.temperature)
+    model.floor = max(rejection(p.max(1), p.argmax(1) == right), EVEN)
     return model
 
 
-def fit(docs: DataFrame, most_training: int = MOST_TRAINING, reject: float = REJECT) -> Model | None:
+def rejection(scores: np.ndarray, right: np.ndarray) -> float:
+    """The score below which predictions are rejected: that below which wrong ones outnumber right ones by most; 0 if they nowhere do."""
+    order = np.lexsort((~right, scores))
+    excess = np.cumsum(np.where(right[order], -1, 1))
+    ends = np.append(scores[order][1:] != scores[order][:-1], True)  # equal scores share their fate
+    excess = np.where(ends, excess, 0)
+    k = int(excess.argmax()) if len(excess) else 0
+    return float(np.nextafter(scores[order][k], 2)) if len(excess) and excess[k] > 0 else 0.0
+
+
+def fit(docs: DataFrame, most_training: int = MOST_TRAINING) -> Model | None:
     """A model from those documents with a language whose crc32(doc_id) mod 4 is not 2, of the least hashes."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
     keyed = rows.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long"))
@@ -146,7 +166,7 @@ def fit(docs: DataFrame, most_training: int = MOST_TRAINING, reject: float = REJ
     keys, times = (got.column(c).combine_chunks() for c in ("k", "n"))
     ends, k, n = keys.offsets.to_numpy(), keys.values.to_numpy(), times.values.to_numpy()
     rows = [(k[a:b], n[a:b] / n[a:b].sum(), lang) for a, b, lang in zip(ends[:-1], ends[1:], got.column("lang").to_pylist()) if b > a]
-    return train(rows, reject)
+    return train(rows)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFrame:
@@ -159,8 +179,13 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> Data
         m = shared.value
         for batch in slices(batches, "_text"):
             texts = batch.column("_text")
-            keys, doc = subwords(texts)
-            counts = np.bincount(doc, minlength=batch.num_rows)
+            pieces, firsts = cut_long(texts, _after_word)
+            total, counts = np.zeros((batch.num_rows, len(m.langs) if m else 0)), np.zeros(batch.num_rows, np.int64)
+            for at in [0] if pieces is texts else range(len(pieces)):  # a slice at once; a long text in pieces
+                keys, doc = subwords(texts if pieces is texts else pieces.slice(at, 1))
+                doc = doc if pieces is texts else doc + (np.searchsorted(firsts, at, side="right") - 1)
+                counts += np.bincount(doc, minlength=batch.num_rows)
+                total += m.sums(keys, doc, batch.num_rows) if m else 0
             data, offsets = text_bytes(texts)
             plain = np.concatenate([[0], np.cumsum(((_LOWER[data] >= 97) & (_LOWER[data] <= 122)))])
             letters = np.diff(plain[offsets]) > 0
@@ -169,7 +194,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> Data
             if m is None:
                 lang, score, floor = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), 0.0
             else:
-                best, score = m.predict(keys, doc, batch.num_rows)
+                best, score = m.predict(total, counts)
                 lang, floor = [m.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)], m.floor
             score = np.where(letters, np.clip(score, 0, 1), 0.0)
             rejected = ~letters | (score < floor) | (m is None)

@@ -13,7 +13,8 @@ Ids are those of the tokenizers library.  Its pre-tokenizer splits a text into p
 that are encoded one by one, so each task finds the pieces with numpy, encodes distinct
 pieces once with the library's model (as long as it remembers them, which is bounded),
 and gathers ids by piece; a text that holds an added token's string goes through the
-library as a whole.  Pieces are told apart by a 64-bit hash.
+library as a whole.  Pieces are told apart by a 64-bit hash.  A long text is encoded in
+parts that begin with a blank between words, so that memory doesn't follow its length.
 
 Null and empty texts give just the end id.  A null ``doc_id`` comes first, and rows that
 tie in ``doc_id`` are ordered by the beginnings of their texts, then by a hash; ranges
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, Scratch, _powers, map_arrow, mix, ragged, slices, text_bytes
+from .common import _ODD, Scratch, _powers, cut_long, map_arrow, mix, ragged, slices, text_bytes
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 WRITER = {
@@ -105,6 +106,17 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+_ALNUM_ASCII = np.zeros(256, bool)
+_ALNUM_ASCII[48:58] = _ALNUM_ASCII[65:91] = _ALNUM_ASCII[97:123] = True
+
+
+def _before_word(data: np.ndarray) -> np.ndarray:
+    """Where a blank stands between letters or digits: a piece always begins there."""
+    out = np.zeros(len(data), bool)
+    out[1:-1] = (data[1:-1] == 32) & _ALNUM_ASCII[data[:-2]] & _ALNUM_ASCII[data[2:]]
+    return out
+
+
 class Encoder:
     """Encodes texts with the tokenizer file at ``path``; remembers the ids of distinct pieces."""
 
@@ -145,7 +157,15 @@ class Encoder:
         return place, ~known
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
+        """All ids, and the number of ids of each text; long texts are encoded in pieces, as their ids are those of their pieces'."""
+        pieces, firsts = cut_long(array, _before_word)
+        if pieces is array or any(a.encode() in text_bytes(array)[0].tobytes() for a in self.added):
+            return self._encode(array)
+        got = [self._encode(pieces.slice(i, 1)) for i in range(len(pieces))]
+        counts = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in got])])
+        return np.concatenate([ids for ids, _ in got]), np.diff(counts[firsts])
+
+    def _encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(array)
         raw = data.tobytes()
         if any(a.encode() in raw for a in self.added):
