@@ -98,11 +98,16 @@ def test_long_texts_are_cut_between_words():
 
 
 def test_rejection_gives_up_what_is_mostly_wrong():
-    scores = np.array([0.3, 0.35, 0.4, 0.5, 0.5, 0.9, 0.95])
-    assert langid.rejection(scores, np.array([False, True, False, False, True, True, True])) == np.nextafter(0.3, 2)
-    assert langid.rejection(scores, np.array([True, False, False, False, True, True, True])) == np.nextafter(0.4, 2)
-    assert langid.rejection(scores, np.ones(7, bool)) == 0 and langid.rejection(np.zeros(0), np.zeros(0, bool)) == 0
-    assert langid.rejection(np.array([0.4, 0.4]), np.array([False, True])) == 0  # equal scores share their fate
+    scores, right = np.linspace(0.3, 0.99, 70), np.ones(70, bool)
+    assert langid.rejection(scores, right) == 0 and langid.rejection(scores[:0], right[:0]) == 0
+    right[[0, 2, 3]] = False
+    assert langid.rejection(scores, right) == 0  # three of four may be chance
+    right[[1, 5, 6]] = False
+    assert langid.rejection(scores, right) == np.nextafter(scores[6], 2)
+    right[:] = True
+    right[:4] = False
+    scores[3:12] = scores[3]
+    assert langid.rejection(scores, right) == 0  # equal scores share their fate
 
 
 def test_running_sums(spark):

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SOLID, Scratch, map_arrow, remainder, signed, slices, word_hashes
+from .common import SOLID, Scratch, map_arrow, remainder, signed, slices, small_table, word_hashes
 
 HEAD, TOP, CLASSES = 1 << 18, 4_096, 48
 PASSES, ALPHA = 50, 5.0
@@ -452,7 +452,7 @@ def score(docs: DataFrame, scratch: Scratch, modulus: int = 7, held_out: int = 2
     pairs = parts.select("row", F.explode(F.arrays_zip("words", "lefts", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.lefts").alias("left"), F.col("w.times").alias("times"))
     # what a word's own class and count add to those of an unseen word
     change = [(h, c, float(model.step[h, c] - model.norm[c] - model.step[h, model.unseen] + model.norm[model.unseen])) for h in range(SIDES) for c in range(END)]
-    change = spark.createDataFrame(change, "left byte, cls byte, change double")  # SIDES * END rows
+    change = small_table(spark, pa.schema([("left", pa.int8()), ("cls", pa.int8()), ("change", pa.float64())]), change)  # SIDES * END rows
     joined = pairs.join(far_words, "word").join(F.broadcast(change), ["left", "cls"])
     log = F.log10(F.col("c") + F.lit(1.0))
     found = joined.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.col("times") * (log + F.col("change"))).alias("gain"), F.sum("times").alias("n"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 19  # text that one numpy pass takes at once, unless one text is longer
-BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to a worker, unless the session sets another bound
+BATCH_BYTES = 1 << 20  # of an Arrow batch that goes to a worker, unless the session sets another bound
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -62,6 +62,12 @@ class Carried:
         return [texts if same else next(others) for same in self.is_text]
 
 
+def small_table(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
+    """A few rows of the driver as a table; by way of Arrow, which needs no Python workers."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 # --------------------------------------------------------------- scratch tables
 
 
@@ -170,8 +176,7 @@ def running_sums(df: DataFrame, order: list, sums: dict[str, str], scratch: Scra
     for row in rows:
         bases.append((row[0], *at))
         at = [a + (t or 0) for a, t in zip(at, row[1:])]
-    base_schema = T.StructType([T.StructField("_part", T.IntegerType()), *[T.StructField(f"_b{i}", T.LongType()) for i in range(len(columns))]])
-    base = df.sparkSession.createDataFrame(bases, base_schema)
+    base = small_table(df.sparkSession, pa.schema([("_part", pa.int32()), *[(f"_b{i}", pa.int64()) for i in range(len(columns))]]), bases)
     out = kept.join(F.broadcast(base), "_part")
     return out.select(*df.columns, *[(F.col(f"_{c}") + F.col(f"_b{i}")).alias(c) for i, c in enumerate(sums)])
 

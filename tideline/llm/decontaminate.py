@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, BATCH_BYTES, SLICE_BYTES, Carried, map_arrow, ragged, shingles, slices, word_hashes
+from .common import ALNUM, Carried, map_arrow, ragged, shingles, slices, word_hashes
 
 K, WINDOW, SPAN = 5, 6, 10
-BLOCK_WORDS, BLOCK_PAIRS = 2_000_000, 1_000_000
+BLOCK_WORDS, BLOCK_PAIRS, GATHERED_BYTES = 2_000_000, 1_000_000, 16 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -133,18 +133,34 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
         yield Index(ids, texts)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``most`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("_text").nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document with its hits; ``keep`` names columns of ``docs`` to carry along, as _keep_0, _keep_1, ...."""
     context, kept = docs.sparkSession.sparkContext, Carried(docs, list(keep))
     blocks = [context.broadcast(b) for b in _blocks(benchmark, block_words)]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *kept.columns())
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *kept.names]
-    most = SLICE_BYTES if len(blocks) == 1 else BATCH_BYTES  # fewer passes over several blocks
+    most = 0 if len(blocks) == 1 else GATHERED_BYTES  # so that a block is read once for many documents
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", most):
-            words, firsts = word_hashes(batch.column("_text"), ALNUM)
-            hit, items = np.zeros(len(words), bool), [set() for _ in range(batch.num_rows)]
+        for held in _gathered(slices(batches, "_text"), most):
+            found = [word_hashes(b.column("_text"), ALNUM) for b in held]
+            words = np.concatenate([w for w, _ in found])
+            before = np.cumsum([0, *(len(w) for w, _ in found)])
+            firsts = np.concatenate([*(f[:-1] + n for (_, f), n in zip(found, before)), before[-1:]])
+            hit, items = np.zeros(len(words), bool), [set() for _ in range(len(firsts) - 1)]
             for block in blocks:
                 index = block.value
                 more, pairs = index.hits(words, firsts)
@@ -152,13 +168,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] = (), b
                 for d, i in pairs.tolist():
                     items[d].add(index.ids[i])
                 if len(blocks) > 1:
+                    del index
                     vars(block).pop("_value", None)  # one block at a time in memory
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = np.diff(total[firsts])
+            n_words, n_hit = np.diff(firsts), np.diff(np.concatenate([[0], np.cumsum(hit)])[firsts])
             sha = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(n_hit), pa.array([len(s) for s in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0), *kept.arrays(batch.column("_text"), batch.columns[2:])], names=names
-            )
+            own, at = [pa.array(n_words), pa.array(n_hit), pa.array([len(s) for s in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0)], 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(x.slice(at, b.num_rows) for x in own), *kept.arrays(b.column("_text"), b.columns[2:])], names=names)
+                at += b.num_rows
 
     return map_arrow(rows, mark, T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *kept.fields]))
 

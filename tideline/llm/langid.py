@@ -7,7 +7,7 @@ stochastic gradient descent on at most ``MOST_TRAINING`` documents, those of the
 hashes; a fifth of these only calibrates.  It sets the temperature, with which the score
 is the probability that a prediction is right, and the score below which predictions are
 rejected: below it wrong ones are likelier than right ones, by that probability (one
-half) or by the calibration rows, where wrong ones outnumber right ones.  For scoring, the
+half) or by the calibration rows, where wrong ones outnumber right ones by far.  For scoring, the
 product of table and layer is folded into one table of logits, so each subword costs one
 lookup and each text one mean; a long text is taken in pieces, between words.
 
@@ -132,11 +132,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model | None:
 
 
 def rejection(scores: np.ndarray, right: np.ndarray) -> float:
-    """The score below which predictions are rejected: that below which wrong ones outnumber right ones by most; 0 if they nowhere do."""
+    """The score below which wrong predictions outnumber right ones by most, and by more than chance (two standard deviations); 0 if they nowhere do."""
     order = np.lexsort((~right, scores))
     excess = np.cumsum(np.where(right[order], -1, 1))
     ends = np.append(scores[order][1:] != scores[order][:-1], True)  # equal scores share their fate
-    excess = np.where(ends, excess, 0)
+    excess = np.where(ends & (excess >= 2 * np.sqrt(np.arange(1, len(excess) + 1))), excess, 0)
     k = int(excess.argmax()) if len(excess) else 0
     return float(np.nextafter(scores[order][k], 2)) if len(excess) and excess[k] > 0 else 0.0
 

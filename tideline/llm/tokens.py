@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, Scratch, _powers, cut_long, map_arrow, mix, ragged, slices, text_bytes
+from .common import _ODD, Scratch, _powers, cut_long, map_arrow, mix, ragged, slices, small_table, text_bytes
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 WRITER = {
@@ -232,7 +232,7 @@ def stream_starts(tokens: DataFrame) -> DataFrame:
     for row in rows:
         bases.append((row.part, before))
         before += row.n
-    base = tokens.sparkSession.createDataFrame(bases, "part int, _base long")
+    base = small_table(tokens.sparkSession, pa.schema([("part", pa.int32()), ("_base", pa.int64())]), bases)
     return tokens.join(F.broadcast(base), "part").withColumn("start", F.col("part_start") + F.col("_base"))
 
 
