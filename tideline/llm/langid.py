@@ -132,11 +132,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model | None:
 
 
 def rejection(scores: np.ndarray, right: np.ndarray) -> float:
-    """The score below which wrong predictions outnumber right ones by most, and by more than chance (two standard deviations); 0 if they nowhere do."""
+    """The score below which wrong predictions outnumber right ones by most, and by more than chance (three standard deviations); 0 if they nowhere do."""
     order = np.lexsort((~right, scores))
     excess = np.cumsum(np.where(right[order], -1, 1))
     ends = np.append(scores[order][1:] != scores[order][:-1], True)  # equal scores share their fate
-    excess = np.where(ends & (excess >= 2 * np.sqrt(np.arange(1, len(excess) + 1))), excess, 0)
+    excess = np.where(ends & (excess >= 3 * np.sqrt(np.arange(1, len(excess) + 1))), excess, 0)
     k = int(excess.argmax()) if len(excess) else 0
     return float(np.nextafter(scores[order][k], 2)) if len(excess) and excess[k] > 0 else 0.0
 
