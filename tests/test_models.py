@@ -4,6 +4,8 @@ import hashlib
 import json
 import random
 import struct
+import threading
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline import model
 from tideline.functions import keys
-from tideline.operators import checkpoints, failures, handlers, leases, lineage, ownership, paging
+from tideline.operators import checkpoints, failures, handlers, leases, leasing, lineage, ownership, paging
 from tideline.sources import records as source
 from tideline.streaming.run import Run
 
@@ -409,20 +411,14 @@ def test_a_hanging_attempt_holds_up_no_other(spark):
 
     def publisher(row):
         if row["idempotency_key"] == "k1":
-            import time
-
             time.sleep(60)
 
-    import time
-
     began = time.monotonic()
     rows = {r[0]: (r[1], r[2]) for r in handlers.publish(df, publisher, deadline=0.3, sleep=lambda s: None).collect()}
     assert rows["k1"][0] == 3 and "0.3 s" in rows["k1"][1] and rows["k2"] == (1, None) and time.monotonic() - began < 30
 
 
 def test_first_error_stops_the_hand_out():
-    import threading
-
     seen, gate = [], threading.Event()
 
     def one(i):
@@ -507,3 +503,85 @@ def test_every_metric_of_the_catalog_is_emitted(spark):
     failed = spark.createDataFrame([("renew", "a", False, "down"), ("release", "a", False, "down")], "op string, shard_id string, ok boolean, error string")
     names |= {r.name for r in metrics.lease_counters(failed).collect()}
     assert names == {metrics.PREFIX + n for n in (*metrics.COUNTERS, *metrics.GAUGES, *metrics.TIMINGS)}
+
+
+FAST = model.Tuning(heartbeat_interval_ms=30, heartbeat_ttl_ms=120, lease_release_timeout=0.2)
+
+
+class Flaky(leasing.MemoryLeases):
+    """Fails or hangs in renewals and releases as told."""
+
+    mode = ""
+
+    def renew(self, shard, owner, ttl):
+        if self.mode == "down":
+            raise OSError("down")
+        if self.mode == "hangs":
+            threading.Event().wait(5)
+        super().renew(shard, owner, ttl)
+
+    def release(self, shard, owner):
+        if self.mode == "hangs":
+            threading.Event().wait(5)
+        super().release(shard, owner)
+
+
+def held_store(mode=""):
+    store = Flaky()
+    assert store.acquire("a", "me", 0.12) and not store.acquire("a", "you", 1)
+    store.mode = mode
+    return store
+
+
+def test_lease_is_renewed_while_work_runs():
+    store = held_store()
+    assert leasing.run_held(store, "a", "me", lambda lost: lost.wait(0.5) and 1 / 0, FAST) == "released"
+    assert store.owners() == {}
+
+
+def test_lost_lease_is_a_handoff():
+    store = held_store()
+
+    def work(lost):
+        store.leases["a"] = ("you", store.now() + timedelta(seconds=9))
+        assert lost.wait(5)
+
+    assert leasing.run_held(store, "a", "me", work, FAST) == "lost" and store.owners() == {"a": "you"}
+    with pytest.raises(ZeroDivisionError):
+        leasing.run_held(store, "a", "me", lambda lost: lost.wait(5) and 1 / 0, FAST)
+
+
+@pytest.mark.parametrize("mode", ["down", "hangs"])
+def test_lease_without_renewals_expires(mode):
+    store, began = held_store(mode), time.monotonic()
+    with pytest.raises(leasing.LeaseExpired):
+        leasing.run_held(store, "a", "me", lambda lost: lost.wait(5) or 1 / 0, FAST)
+    assert time.monotonic() - began < 2
+
+
+def test_short_outages_are_lived_through():
+    store = held_store("down")
+    store.leases["a"] = ("me", store.now() + timedelta(seconds=9))
+    threading.Timer(0.06, lambda: setattr(store, "mode", "")).start()
+    with leasing.Held(store, "a", "me", FAST) as held:
+        assert not held.lost.wait(0.4) and held.renewals > 1 and held.failures > 0
+    assert held.release() == "released" and held.release() == "lost"
+
+
+def test_release_is_bounded():
+    held = leasing.Held(held_store("hangs"), "a", "me", FAST)
+    began = time.monotonic()
+    assert held.release() == "failed" and time.monotonic() - began < 2
+
+
+def test_workers_of_the_memory_store():
+    at = [datetime(2024, 5, 1)]
+    store = leasing.MemoryLeases(lambda: at[0])
+    store.heartbeat("b", 10), store.heartbeat("a", 20), store.acquire("s", "a", 10), store.claim("s", "a", "b", 10)
+    assert store.workers() == ["a", "b"] and store.owners() == {"s": "b"}
+    at[0] += timedelta(seconds=10)
+    assert store.workers() == ["a"] and store.owners() == {} and store.acquire("s", "c", 5)
+    store.deregister("a"), store.deregister("nobody")
+    assert store.workers() == []
+    with pytest.raises(model.NotOwned):
+        store.renew("s", "a", 5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arn, keys, retry, seqnum
 from ..model import AT_TIMESTAMP, BATCH, LATEST, RECORD, SEND_TO_DLQ, SHARD_END, SKIP, TRIM_HORIZON, HandlerOptions, StreamConfig, Tuning
-from ..operators import checkpoints, failures, handlers, leases, lineage, metrics, ownership, paging, positions
+from ..operators import checkpoints, failures, handlers, leases, leasing, lineage, metrics, ownership, paging, positions
 from ..session import shared_folder
 from ..sources import records as source
 from ..streaming import run as streaming
@@ -465,6 +465,18 @@ def stored_keys(spark, sf_dir):
     return frame(spark, "prefixes").select("prefix", keys.checkpoint_key(p, i, s).alias("checkpoint_key"), keys.lease_key(p, i, "lease_owners").alias("owners_key"), keys.lease_prefix(p).alias("lease_prefix"))
 
 
+RENEWALS = [
+    ("a", 0, "acquired"), ("a", 5000, "ok"), ("a", 10000, "error"), ("a", 15000, "error"), ("a", 20000, "ok"), ("a", 25000, "now"),
+    ("b", 0, "acquired"), ("b", 5000, "error"), ("b", 10000, "error"), ("b", 15000, "error"), ("b", 20000, "error"), ("b", 25000, "ok"),
+    ("c", 0, "acquired"), ("c", 5000, "ok"), ("c", 10000, "not_owned"), ("d", 0, "acquired"), ("d", 40000, "now"), ("e", 100, "acquired"), ("e", 30099, "ok"), ("e", 30500, "not_owned"), ("f", 0, "acquired"), ("f", 30000, "not_owned"),
+]
+
+
+@query("SELECT * FROM (VALUES ('b', 'expired', 20000::BIGINT), ('c', 'lost', 10000), ('d', 'fenced', 30000), ('e', 'lost', 30500), ('f', 'fenced', 30000)) AS v(shard_id, reason, at_ms)")
+def renewal_stops(spark, sf_dir):
+    return leasing.renew_stops(spark.createDataFrame(RENEWALS, "shard_id string, at_ms long, result string"), 20_000, 5_000)
+
+
 def _ownership(spark):
     return frame(spark, "ready"), leases.live_leases(timed(frame(spark, "leases"), "expires_at"), NOW_TIME), leases.live_workers(timed(frame(spark, "workers"), "expires_at").withColumn("identity", F.lit("g:s")), NOW_TIME)
 
