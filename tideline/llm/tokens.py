@@ -46,7 +46,7 @@ WRITER = {
     "compression": "zstd",
 }
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, tokens array<int>"
-MOST_PIECES, MOST_IDS = 1 << 18, 1 << 21  # distinct pieces that a task remembers, and about their ids: some 16 MB
+MOST_PIECES, MOST_IDS = 1 << 19, 1 << 21  # distinct pieces that a task remembers, and about their ids: some 16 MB
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 _CLASSES: list[np.ndarray] = []
@@ -127,27 +127,32 @@ class Encoder:
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet: dict[int, str] = {}  # the letter that stands for each byte of valid UTF-8
+        self.letters = np.zeros(256, "<u4")  # the letter that stands for each byte of valid UTF-8
         for c in (*range(0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x10000, 0x800), *range(0x10000, 0x110000, 0x8000)):
-            self.alphabet.update(zip(chr(c).encode(), letters.pre_tokenize_str(chr(c))[0][0]))
+            for byte, letter in zip(chr(c).encode(), letters.pre_tokenize_str(chr(c))[0][0]):
+                self.letters[byte] = ord(letter)
         self.forget()
 
     def forget(self) -> None:
         self.hashes, self.lengths, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _learn(self, place: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Puts new pieces before the places given in the ascending hashes."""
-        lengths = np.zeros(len(pieces), np.int32)
-        at = np.zeros(len(pieces), np.int32)
-        for i, piece in enumerate(pieces):
-            ids = [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))]
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            lengths[i], at[i] = len(ids), self.used
-            self.used += len(ids)
-        self.hashes, self.lengths, self.at = np.insert(self.hashes, place, hashes), np.insert(self.lengths, place, lengths), np.insert(self.at, place, at)
+    def _learn(self, place: np.ndarray, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Puts new pieces, given by their bytes, before the places given in the ascending hashes."""
+        mapped = self.letters[data[ragged(starts, sizes)]].tobytes().decode("utf-32-le")
+        tokenize, ids, ends, a = self.model.tokenize, [], [], 0
+        for b in np.cumsum(sizes).tolist():
+            ids += [t.id for t in tokenize(mapped[a:b])]
+            ends.append(len(ids))
+            a = b
+        ends = np.array(ends, np.int64)
+        lengths = np.diff(ends, prepend=0)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = (self.used + ends - lengths).astype(np.int32)
+        self.used += len(ids)
+        self.hashes, self.lengths, self.at = np.insert(self.hashes, place, hashes), np.insert(self.lengths, place, lengths.astype(np.int32)), np.insert(self.at, place, at)
 
     def _look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.hashes, hashes)
@@ -174,8 +179,8 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(array), np.int64)
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
-        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-        firsts = chars[offsets]
+        bytes_at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each code point begins
+        firsts = np.searchsorted(bytes_at, offsets)
         starts = piece_starts(points, firsts[:-1][firsts[:-1] < len(points)])
         ends = np.append(starts[1:], len(points))
         up, down = _powers(len(points) + 1)
@@ -188,8 +193,8 @@ class Encoder:
             self.forget()
             place, new = self._look_up(distinct)
         if new.any():
-            s, e = starts[example[new]], ends[example[new]]
-            self._learn(place[new], distinct[new], [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(s.tolist(), e.tolist())])
+            first = bytes_at[starts[example[new]]]
+            self._learn(place[new], distinct[new], data, first, bytes_at[ends[example[new]]] - first)
         index = np.searchsorted(self.hashes, distinct)[inverse]
         lengths = self.lengths[index].astype(np.int64)
         ids = self.ids[ragged(self.at[index], lengths)]
