@@ -44,7 +44,7 @@ END, RARE = CLASSES - 1, CLASSES  # classes of the end, and of words before that
 SIDES = CLASSES + 1  # classes that a neighbour can have
 END_HASH = np.uint64(1)
 MOST_HELD = 1 << 18  # distinct keys that a task holds before it passes counts on
-PORTIONS = 8
+PORTIONS, PORTION = 8, 1 << 20
 ROWS = 1 << 14  # rows that are scored against all classes at once
 
 
@@ -186,32 +186,36 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def cluster(u: np.ndarray, v: np.ndarray, c: np.ndarray, words: int, classes: int = CLASSES, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit by exchange, and the counts of classes; ``c`` counts unit ``v`` after unit ``u``.
+    """The class of each unit by exchange, and the counts of classes; ``c`` counts unit ``v`` after unit ``u``, and ``u`` ascends.
 
     Units 0 .. words - 1 are words and go to classes 0 .. classes - 2.  The unit after them, all other words, keeps
     class ``classes``, and the last, the end, class ``classes - 1``.
     """
     units, all_classes = words + 2, classes + 1
-    c = c.astype(np.float64)
-    size = np.bincount(u, c, units) + np.bincount(v, c, units)
+    own_counts, before_, after_, table = np.zeros(units), np.zeros(units), np.zeros(units), np.zeros(all_classes**2)
+    for at in range(0, len(c), PORTION):
+        x, y, n = u[at : at + PORTION], v[at : at + PORTION], c[at : at + PORTION]
+        after_ += np.bincount(x, n, units)
+        before_ += np.bincount(y, n, units)
+        own_counts[x[x == y]] = n[x == y]
+    size = before_ + after_
     order = np.argsort(-size[:words], kind="stable")
     cls = np.empty(units, np.int64)
     cls[order] = np.arange(words) % (classes - 1)
     cls[words], cls[words + 1] = classes, classes - 1
-    table = np.bincount(cls[u] * all_classes + cls[v], c, all_classes**2).reshape(all_classes, all_classes)
-    to_right, to_left = np.lexsort((v, u)), np.lexsort((u, v))
-    right_edges, left_edges = (np.searchsorted(x, np.arange(units + 1)) for x in (u[to_right], v[to_left]))
-    next_, next_c, last, last_c = v[to_right], c[to_right], u[to_left], c[to_left]
-    own_counts = np.zeros(units)
-    own_counts[u[u == v]] = c[u == v]
+    for at in range(0, len(c), PORTION):
+        table += np.bincount(cls[u[at : at + PORTION]] * all_classes + cls[v[at : at + PORTION]], c[at : at + PORTION], all_classes**2)
+    table = table.reshape(all_classes, all_classes)
+    right_edges, left_edges = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=units))]) for x in (u, v))
+    to_left = np.argsort(v, kind="stable").astype(np.int32)
     for _ in range(passes):
         moved = 0
         for w in order[size[order] > 0]:
             a, own = cls[w], own_counts[w]
             i, j = right_edges[w], right_edges[w + 1]
-            right = np.bincount(cls[next_[i:j]], next_c[i:j], all_classes)
-            i, j = left_edges[w], left_edges[w + 1]
-            left = np.bincount(cls[last[i:j]], last_c[i:j], all_classes)
+            right = np.bincount(cls[v[i:j]], c[i:j], all_classes)
+            some = to_left[left_edges[w] : left_edges[w + 1]]
+            left = np.bincount(cls[u[some]], c[some], all_classes)
             right[a] -= own
             left[a] -= own
             table[a] -= right
@@ -371,9 +375,12 @@ def learn(encoded: DataFrame, counts: DataFrame, head: Head, least: int, scratch
     top = min(TOP, len(head.counts))
     pairs = scratch.keep(count_pairs(encoded, top), "pairs")
     parts = [pairs.filter(F.pmod("pair", F.lit(PORTIONS)) == i).toArrow() for i in range(PORTIONS)]
-    key, c = (np.concatenate([_numbers(p, x) for p in parts]) for x in ("pair", "c"))
-    cls, table = cluster(key // (top + 2), key % (top + 2), c, top)
-    del parts, key, c
+    key, c = np.concatenate([p.column("pair").to_numpy() for p in parts]), np.concatenate([p.column("c").to_numpy() for p in parts])
+    del parts
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key, c = key[order], c[order]
+    cls, table = cluster((key // (top + 2)).astype(np.uint16), (key % (top + 2)).astype(np.uint16), c, top)
+    del key, c, order
     classes = np.full(len(head.counts) + 1, RARE, np.int8)
     classes[:top] = cls[:top]
     if len(head.counts) > top:
