@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import socket
 import struct
 import threading
 import time
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline import model
 from tideline.functions import keys
-from tideline.operators import checkpoints, failures, handlers, leases, leasing, lineage, ownership, paging
+from tideline.operators import checkpoints, failures, handlers, leases, leasing, lineage, metrics, ownership, paging, stores
 from tideline.sources import records as source
 from tideline.streaming.run import Run
 
@@ -494,7 +495,6 @@ def test_late_epochs_sort_after_early_ones(spark, tmp_path):
 
 
 def test_every_metric_of_the_catalog_is_emitted(spark):
-    from tideline.operators import metrics
     from tideline.plans import registry
 
     names = set()
@@ -585,3 +585,64 @@ def test_workers_of_the_memory_store():
     assert store.workers() == []
     with pytest.raises(model.NotOwned):
         store.renew("s", "a", 5)
+
+
+def test_stores_agree_with_the_merge(spark, tmp_path):
+    r, memory, table = random.Random(4), stores.MemoryCheckpoints(), stores.TableCheckpoints(spark, str(tmp_path / "store"))
+    model_values = {}
+    for _ in range(14):
+        shard, value = r.choice("ab"), r.choice(["5", "10", "9", "100", "SHARD_END:10", "SHARD_END", "", None])
+        for store in (memory, table):
+            if value is None:
+                store.delete("g:s", shard)
+            else:
+                moved = store.save("g:s", shard, value)
+                assert moved == (advance(model_values.get(shard), value) != model_values.get(shard))
+        model_values[shard] = None if value is None else advance(model_values.get(shard), value)
+        assert memory.get("g:s", shard) == (model_values[shard] or "")
+    for shard in "ab":
+        assert table.get("g:s", shard) == memory.get("g:s", shard)
+    table.write(spark.createDataFrame([("g:s", "c", "7"), ("h:s", "c", "8")], "identity string, shard_id string, value string"))
+    assert table.get("g:s", "c") == "7" and table.get("h:s", "c") == "8"
+    memory.values["g:s", "x"] = "07"
+    with pytest.raises(model.InvalidStoredCheckpoint):
+        memory.save("g:s", "x", "9")
+
+
+def test_store_calls_are_tried_again_at_a_constant_pace():
+    class Down(stores.MemoryCheckpoints):
+        left = 2
+
+        def save(self, *args):
+            self.left -= 1
+            if self.left >= 0:
+                raise OSError("down")
+            return super().save(*args)
+
+    slept, store = [], Down()
+    retrying = stores.Retrying(store, sleep=slept.append)
+    assert retrying.save("g:s", "a", "1") and slept == [1.0, 1.0] and retrying.get("g:s", "a") == "1"
+    store.left = 3
+    with pytest.raises(OSError):
+        retrying.save("g:s", "a", "2")
+    store.values["g:s", "x"], store.left = "x", 0
+    with pytest.raises(model.InvalidStoredCheckpoint):
+        retrying.save("g:s", "x", "2")
+    assert slept == [1.0] * 4
+    retrying.delete("g:s", "x"), retrying.delete("g:s", "x")
+
+
+def test_statsd_reporter_sends_lines():
+    class Row:
+        def __init__(self, name, type_, value, tags):
+            self.name, self.type, self.value, self.tags = name, type_, value, tags
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as there:
+        there.bind(("127.0.0.1", 0))
+        there.settimeout(5)
+        send = metrics.StatsdReporter(port=there.getsockname()[1])
+        send(Row("a.b", "c", 12.0, {"shard": "s|1"}))
+        assert there.recv(999) == b"a.b:12|c|#shard:s_1"
+        send(Row("a.b", "ms", 0.25, None))
+        assert there.recv(999) == b"a.b:0.25|ms"
+    assert send.line(Row("x", "g", 1e21, {})) == "x:1000000000000000000000|g" and send.line(Row("x", "g", 1.5e-7, {})) == "x:0.00000015|g"

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import socket
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger("tideline.metrics")
+
 # Names that dashboards rely on.
 PREFIX = "kinesis_consumer."
 COUNTERS = (
@@ -35,6 +41,26 @@ def statsd_line(name: Column, kind: Column, value: Column, tags: Column) -> Colu
     return F.concat(name, F.lit(":"), plain_number(value), F.lit("|"), kind, suffix)
 
 
+class StatsdReporter:
+    """Sends emissions (name, type, value, tags) as UDP datagrams, one line each; a ``reporter`` of runs.  Lost ones are lost."""
+
+    def __init__(self, host: str = "127.0.0.1", port: int = 8125):
+        self.address, self.socket = (host, port), socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+
+    def line(self, row) -> str:
+        value = format(Decimal(repr(float(row.value))), "f")
+        value = value.rstrip("0").rstrip(".") if "." in value else value
+        clean = str.maketrans(",|#\n\r", "_____")
+        tags = ",".join(f"{k.translate(clean)}:{v.translate(clean)}" for k, v in (row.tags or {}).items())
+        return f"{row.name}:{value}|{row.type}" + (f"|#{tags}" if tags else "")
+
+    def __call__(self, row) -> None:
+        try:
+            self.socket.sendto(self.line(row).encode(), self.address)
+        except OSError as e:
+            log.debug("metric not sent: %s", e)
+
+
 def shard_counters(outcomes: DataFrame, saves: DataFrame) -> DataFrame:
     """name, shard_id and value of the counters of a run."""
     by = outcomes.groupBy("shard_id").agg(
