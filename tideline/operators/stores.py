@@ -12,11 +12,11 @@ import threading
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SHARD_END, InvalidStoredCheckpoint
+from ..session import exists
 from .checkpoints import merge_saves
 
 _STORED = re.compile(r"0|[1-9][0-9]*")
@@ -59,12 +59,8 @@ class TableCheckpoints:
         self.spark, self.path = spark, path
 
     def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return self.spark.createDataFrame([], "identity string, shard_id string, arrival_index long, value string")
+        schema = "identity string, shard_id string, arrival_index long, value string"
+        return self.spark.read.schema(schema).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
 
     def table(self) -> DataFrame:
         return merge_saves(self._log())

@@ -24,13 +24,13 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seqnum
 from ..model import SEND_TO_DLQ, SHARD_END, AlreadyStarted, Closed, DrainTimeout, EngineError, HandlerFailed, HandlerOptions, HeartbeatStale, PublishFailed, ShardSyncStale, StreamConfig
 from ..operators import checkpoints, failures, handlers, metrics, paging
+from ..session import exists
 
 log = logging.getLogger("tideline.run")
 STATE = "shard_id string, held long, last_seq string, ended boolean"
@@ -93,12 +93,9 @@ class Run:
 
     def _state(self, spark: SparkSession, before: int) -> DataFrame:
         """What the last batch before this one left."""
-        try:
-            rows = spark.read.option("basePath", f"{self.out}/state").parquet(f"{self.out}/state")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+        if not exists(spark, f"{self.out}/state"):
             return spark.createDataFrame([], STATE)
+        rows = spark.read.option("basePath", f"{self.out}/state").schema(f"{STATE}, epoch int").parquet(f"{self.out}/state")
         last = rows.filter(F.col("epoch") < before).agg(F.max("epoch")).first()[0]
         return rows.filter(F.col("epoch") == (last if last is not None else -1)).drop("epoch")
 
