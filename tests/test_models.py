@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tideline import model
 from tideline.functions import keys
 from tideline.operators import checkpoints, failures, handlers, leases, leasing, lineage, metrics, ownership, paging, stores
+from tideline.plans import registry
 from tideline.sources import records as source
 from tideline.streaming.run import Run
 
@@ -646,3 +647,17 @@ def test_statsd_reporter_sends_lines():
         send(Row("a.b", "ms", 0.25, None))
         assert there.recv(999) == b"a.b:0.25|ms"
     assert send.line(Row("x", "g", 1e21, {})) == "x:1000000000000000000000|g" and send.line(Row("x", "g", 1.5e-7, {})) == "x:0.00000015|g"
+
+
+def events(spark, path, rows):
+    """An event table of ``rows`` (event_id, user_id) below ``path``."""
+    e = rows.select("event_id", F.timestamp_seconds(F.col("event_id")).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    e.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_open_shards_with_saves_are_not_shown_as_closed(spark, tmp_path):
+    ids = spark.range(1_000_100).withColumnRenamed("id", "event_id")
+    sf = events(spark, tmp_path, ids.withColumn("user_id", F.when(F.col("event_id") < 10, F.col("event_id") % 4).otherwise(2)))
+    got = registry.checkpoint_of_closed_shards(spark, sf)
+    assert sorted(map(tuple, got.collect())) == [("workers:events", "shardId-000000000000", "SHARD_END:9"), ("workers:events", "shardId-000000000001", "SHARD_END:10")]
