@@ -661,3 +661,10 @@ def test_open_shards_with_saves_are_not_shown_as_closed(spark, tmp_path):
     sf = events(spark, tmp_path, ids.withColumn("user_id", F.when(F.col("event_id") < 10, F.col("event_id") % 4).otherwise(2)))
     got = registry.checkpoint_of_closed_shards(spark, sf)
     assert sorted(map(tuple, got.collect())) == [("workers:events", "shardId-000000000000", "SHARD_END:9"), ("workers:events", "shardId-000000000001", "SHARD_END:10")]
+
+
+def test_cadence_query_saves_every_third_batch_of_several_pages(spark, tmp_path):
+    ids = spark.range(204_000).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("user_id"))
+    got = registry.stream_cadence(spark, events(spark, tmp_path, ids))
+    expected = sorted((f"shardId-{s:012d}", str(s + 1 + 4 * (k - 1))) for s in range(4) for k in (30_600, 51_000))
+    assert sorted(map(tuple, got.collect())) == expected

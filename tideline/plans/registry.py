@@ -787,12 +787,13 @@ def stream_parent_gating(spark, sf_dir):
 @query(f"""WITH {REC}, m AS (SELECT CAST(ceil(count(*) / 20) AS BIGINT) AS m FROM rec), r AS (SELECT shard_id, sequence_number, row_number() OVER (PARTITION BY shard_id ORDER BY length(sequence_number), sequence_number) AS k, count(*) OVER (PARTITION BY shard_id) AS n, m FROM rec, m)
 SELECT shard_id, sequence_number AS value FROM r WHERE k % (3 * m) = 0 OR k = n""")
 def stream_cadence(spark, sf_dir):
-    """Batches of one page a shard; the count goes on over batches, and a tip is saved."""
+    """Batches of a twentieth of the log a shard; the count goes on over batches, three to a save, and a tip is saved."""
     log, out = _log(spark, "stream-cadence")
     records = source.from_events(spark, sf_dir)
-    page = -(-records.count() // 20)
+    most = -(-records.count() // 20)
     source.export_log(records, log)
-    _stream_run(spark, log, out, options(RECORD, SKIP, batch_size=min(page, 10_000), checkpoint_every=2 * page + 1), ("maxRecordsPerShardPerBatch", str(page)))
+    # not more than the third batch's last page reaches the count, whatever the size of pages
+    _stream_run(spark, log, out, options(RECORD, SKIP, batch_size=min(most, 10_000), checkpoint_every=3 * most), ("maxRecordsPerShardPerBatch", str(most)))
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/run/saves").select("shard_id", "value")
 
 
