@@ -668,3 +668,20 @@ def test_cadence_query_saves_every_third_batch_of_several_pages(spark, tmp_path)
     got = registry.stream_cadence(spark, events(spark, tmp_path, ids))
     expected = sorted((f"shardId-{s:012d}", str(s + 1 + 4 * (k - 1))) for s in range(4) for k in (30_600, 51_000))
     assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_cadence_query_runs_alike_at_each_size(spark, tmp_path, monkeypatch):
+    taken = []
+
+    class Taken(Exception): ...
+
+    def stop(spark, log, out, o, parts):
+        taken.append((o.tuning.batch_size, o.tuning.checkpoint_every / int(parts[1])))
+        raise Taken
+
+    monkeypatch.setattr(registry, "_stream_run", stop)
+    for n in (200, 20_000, 220_000):
+        ids = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("user_id"))
+        with pytest.raises(Taken):
+            registry.stream_cadence(spark, events(spark, tmp_path / str(n), ids))
+    assert len(set(taken)) == 1

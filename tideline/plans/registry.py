@@ -793,7 +793,7 @@ def stream_cadence(spark, sf_dir):
     most = -(-records.count() // 20)
     source.export_log(records, log)
     # not more than the third batch's last page reaches the count, whatever the size of pages
-    _stream_run(spark, log, out, options(RECORD, SKIP, batch_size=min(most, 10_000), checkpoint_every=3 * most), ("maxRecordsPerShardPerBatch", str(most)))
+    _stream_run(spark, log, out, options(RECORD, SKIP, batch_size=1_000, checkpoint_every=3 * most), ("maxRecordsPerShardPerBatch", str(most)))
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/run/saves").select("shard_id", "value")
 
 
