@@ -685,3 +685,14 @@ def test_cadence_query_runs_alike_at_each_size(spark, tmp_path, monkeypatch):
         with pytest.raises(Taken):
             registry.stream_cadence(spark, events(spark, tmp_path / str(n), ids))
     assert len(set(taken)) == 1
+
+
+def test_small_pages_are_handled_from_few_frames(monkeypatch):
+    import pandas as pd
+
+    frames = [pd.DataFrame({"shard_id": ["a"] * 4_000 + ["b"] * 4_000, "ordinal": [*range(4_000)] * 2, "page_no": [i // 10 for i in range(4_000)] * 2}).iloc[a:b] for a, b in ((0, 3_995), (3_995, 4_003), (4_003, 4_003), (4_003, 8_000))]
+    made = list(handlers.whole_pages(iter(frames)))
+    assert len(made) <= len(frames) + 1
+    pages = [pdf.iloc[a:b] for pdf, cuts in made for a, b in zip(cuts, cuts[1:])]
+    assert [(p.shard_id.iloc[0], p.page_no.iloc[0], len(p)) for p in pages] == [(s, i, 10) for s in "ab" for i in range(400)]
+    assert all(p.shard_id.nunique() == p.page_no.nunique() == 1 for p in pages)

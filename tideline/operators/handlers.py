@@ -75,18 +75,21 @@ class _Stop(Exception):
         self.attempts = attempts
 
 
-def whole_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of one page each, from frames that are sorted by shard and ordinal."""
+def whole_pages(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames of whole pages, with the rows where pages begin and the frame's length, from frames that are sorted by shard and ordinal."""
     rest = None
     for pdf in frames:
         if rest is not None:
             pdf = pd.concat([rest, pdf], ignore_index=True)
-        cuts = np.flatnonzero((pdf["shard_id"] != pdf["shard_id"].shift()) | (pdf["page_no"] != pdf["page_no"].shift())).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            yield pdf.iloc[a:b]
-        rest = pdf.iloc[cuts[-1] :] if cuts else None
+        if pdf.empty:
+            continue
+        shard, page = pdf["shard_id"].to_numpy(), pdf["page_no"].to_numpy()
+        cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (page[1:] != page[:-1])) + 1).tolist()]
+        if len(cuts) > 1:
+            yield pdf.iloc[: cuts[-1]], cuts
+        rest = pdf.iloc[cuts[-1] :]
     if rest is not None:
-        yield rest
+        yield rest, [0, len(rest)]
 
 
 def run_handler(pages: DataFrame, options: HandlerOptions, on_record=None, on_batch=None, sleep=time.sleep, raises: bool = True) -> DataFrame:
@@ -113,8 +116,7 @@ def run_handler(pages: DataFrame, options: HandlerOptions, on_record=None, on_ba
             raise stop from error
         return attempts, good, str(stop)
 
-    def handled(pdf: pd.DataFrame) -> tuple[pd.DataFrame, BaseException | None]:
-        rows = list(pdf.itertuples(index=False))
+    def handled(rows: list) -> tuple[list, BaseException | None]:
         if kind == BATCH:
             got, error = hand_out([rows], 1, lambda page: settled(lambda: on_batch(page)))
             got = got * len(rows)
@@ -125,27 +127,25 @@ def run_handler(pages: DataFrame, options: HandlerOptions, on_record=None, on_ba
             failed = range(len(rows)) if kind == BATCH else (first,)
             attempts = getattr(error, "attempts", 1)
             got = [(attempts, "failed", str(error)) if i in failed else g or (0, "unread", None) for i, g in enumerate(got)]
-        return pdf.assign(attempts=[g[0] for g in got], outcome=[g[1] for g in got], error=[g[2] for g in got]), error
+        return got, error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stopped, out, n = None, [], 0
-        for pdf in whole_pages(frames):
-            shard = pdf["shard_id"].iloc[0]
-            if shard == stopped:
-                done = pdf.assign(attempts=0, outcome="unread", error=None)
-            else:
-                done, error = handled(pdf)
+        stopped = object()  # no shard, not even that of null
+        for pdf, cuts in whole_pages(frames):
+            # rows and results are made for many pages at a time: a frame for each page costs more than its records
+            rows, shards, done = list(pdf.itertuples(index=False)), pdf["shard_id"].to_numpy(), []
+            for a, b in zip(cuts, cuts[1:]):
+                if shards[a] == stopped:
+                    done += [(0, "unread", None)] * (b - a)
+                    continue
+                got, error = handled(rows[a:b])
+                done += got
                 if error is not None:
                     if raises:
                         raise RuntimeError(str(error)) from error
-                    stopped = shard
-            out.append(done)
-            n += len(done)
-            if n >= 10_000:
-                yield pd.concat(out, ignore_index=True)
-                out, n = [], 0
-        if out:
-            yield pd.concat(out, ignore_index=True)
+                    stopped = shards[a]
+            attempts, outcome, errors = zip(*done)
+            yield pdf.assign(attempts=attempts, outcome=outcome, error=errors)
 
     return pages.repartition("shard_id").sortWithinPartitions("shard_id", "ordinal").mapInPandas(run, schema)
 
