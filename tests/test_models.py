@@ -696,3 +696,11 @@ def test_small_pages_are_handled_from_few_frames(monkeypatch):
     pages = [pdf.iloc[a:b] for pdf, cuts in made for a, b in zip(cuts, cuts[1:])]
     assert [(p.shard_id.iloc[0], p.page_no.iloc[0], len(p)) for p in pages] == [(s, i, 10) for s in "ab" for i in range(400)]
     assert all(p.shard_id.nunique() == p.page_no.nunique() == 1 for p in pages)
+
+
+def test_no_task_keeps_two_sorts_of_dead_pages(spark, tmp_path):
+    ids = spark.range(100).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("user_id"))
+    df = registry.poison_pages(spark, events(spark, tmp_path, ids))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("Sort [") <= plan.count("Exchange hashpartitioning(")
+    assert plan.count("max(") == 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..model import BATCH, FAIL_FAST, RECORD, SEND_TO_DLQ, SKIP, HandlerOptions
+from .paging import order
 
 def of_page():
     return Window.partitionBy("shard_id", "page_no")
@@ -21,13 +22,17 @@ def outcomes(pages: DataFrame, options: HandlerOptions) -> DataFrame:
     """With ``attempts`` and ``outcome``: processed, skipped, dlq, failed, or unread after a failure.
 
     A batch handler sees a page as a whole: it succeeds when the slowest of its records does.
+    Pages are then dealt to tasks one by one, and sorted once: in the tasks of their shards,
+    each window over pages would keep another sort of the whole shard in memory.
     """
     most = options.tuning.retry_max_attempts
     on = F.coalesce(F.col("succeeds_on"), F.lit(1 << 30))
     if options.kind == BATCH:
+        pages = pages.repartition("shard_id", "page_no").sortWithinPartitions("shard_id", "page_no", *order())
         on = F.max(on).over(of_page())
     failed = {SKIP: "skipped", SEND_TO_DLQ: "dlq", FAIL_FAST: "failed"}[options.effective_policy]
-    out = pages.withColumn("attempts", F.least(on, F.lit(most)).cast("int")).withColumn("outcome", F.when(on <= most, "processed").otherwise(failed))
+    on, pages = F.col("_on"), pages.withColumn("_on", on)  # one window, though it is used twice
+    out = pages.withColumn("attempts", F.least(on, F.lit(most)).cast("int")).withColumn("outcome", F.when(on <= most, "processed").otherwise(failed)).drop("_on")
     if failed != "failed":
         return out
     # the first failure of a shard stops it: what follows is not read
@@ -51,7 +56,7 @@ def poison_records(outcome_rows: DataFrame, options: HandlerOptions, group: str,
     the same for every delivery of a record.
     """
     batch = options.kind == BATCH
-    index = F.row_number().over(of_page().orderBy(F.length("sequence_number"), F.col("sequence_number"))) - 1
+    index = F.row_number().over(of_page().orderBy(*order())) - 1
     rows = outcome_rows.filter("outcome = 'dlq'")
     if batch:
         rows = rows.withColumn("_index", index).withColumn("_size", F.count("*").over(of_page()))
